@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, decontaminate, exact_dedup, warc
+from meterlake.llm import bpe, decontaminate, exact_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("hits") > 0).alias("contaminated"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.in_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -43,6 +49,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
     "op9_warc": op9_warc,
