@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, decontaminate, exact_dedup, toxicity, warc
+from meterlake.llm import bpe, decontaminate, exact_dedup, licenses, sentence_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup.repeated_sentences(_table(spark, sf_dir, "documents"), span=3)
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.concat_ws(",", "notices"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentence_dedup": op6_sentence_dedup,
     "op7_bpe": op7_bpe,
+    "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
 }
 
@@ -61,6 +73,21 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(line: str) -> str:
+    out = f"' ' || regexp_replace(regexp_replace(lower({line}), '©|\\(c\\)', ' copyright ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    out = f"regexp_replace({out}, ' +', ' ', 'g')"
+    for word, plain in licenses.SPELLINGS:
+        out = f"replace({out}, ' {word} ', ' {plain} ')"
+    out = f"trim({out})"
+    return f"CASE WHEN regexp_matches({out}, '{licenses.COPYRIGHT}') THEN '' ELSE {out} END"
+
+
+_LINES_SQL = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_canonical_sql('l')}), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -84,6 +111,26 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_sentence_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{sentence_dedup.SENTENCE}') AS s FROM documents),
+        b AS (SELECT doc_id, s, list_transform(s, lambda x: regexp_replace(x, '\\s+$', '')) AS u FROM d),
+        r AS (SELECT doc_id, i, u[i:i + 2] AS run FROM b, unnest(range(1, len(u) - 1)) AS t(i)),
+        later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r) WHERE k > 1),
+        gone AS (SELECT doc_id, list(DISTINCT j) AS g FROM later, unnest([i, i + 1, i + 2]) AS t(j) GROUP BY doc_id)
+        SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(len(g), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN g IS NULL THEN s ELSE list_filter(s, lambda x, i: NOT list_contains(g, i)) END, '')) AS kept_sha256
+        FROM b LEFT JOIN gone USING (doc_id)
+    """,
+    "op8_licenses": f"""
+        WITH known_texts(license, text) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}),
+        known AS (SELECT sha256(array_to_string({_LINES_SQL}, ' ')) AS digest, min(license) AS license FROM known_texts GROUP BY 1),
+        d AS (SELECT doc_id, {_LINES_SQL} AS lines FROM documents),
+        w AS (SELECT doc_id, lines, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS digest FROM d),
+        f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
+              FROM (SELECT doc_id, unnest(lines) AS line FROM d) JOIN known ON sha256(line) = known.digest GROUP BY doc_id)
+        SELECT w.doc_id, w.digest AS canonical_sha256, known.license, coalesce(notices, '') AS notices, coalesce(n, 0)::BIGINT AS n_notices
+        FROM w LEFT JOIN known ON w.digest = known.digest LEFT JOIN f ON w.doc_id = f.doc_id
+    """,
     "op9_warc": """
         WITH d AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, coalesce(html, '') AS payload,
