@@ -217,9 +217,10 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> Da
     return source.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Digest columns of encoded and decoded rows: n_tokens, ids_sha256, decoded_sha256."""
+def digests(encoded: DataFrame, *also: str) -> DataFrame:
+    """Digest columns of encoded and decoded rows: doc_id, n_tokens, ids_sha256, decoded_sha256, and the
+    columns named in ``also``."""
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *also)

@@ -103,11 +103,13 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Rows are told apart by identifier and text, so
-    identifiers should be unique; repeated rows collapse to one."""
-    drop = exact_groups(docs, id_col, text_col, **options).filter(~F.col("kept"))
-    gone = drop.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    twice = drop.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_twice"), F.col("text_sha256").alias("_sha2")).distinct()
-    kept = docs.join(gone.join(twice, F.col("_gone").eqNullSafe(F.col("_twice")) & (F.col("_sha") == F.col("_sha2")), "left_anti"),
-                     docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if twice.limit(1).count() else kept
+    """The rows of ``docs`` that stay, all columns. Options as :func:`exact_groups`. Rows that share
+    identifier and text collapse to one of them."""
+    normalise = options.get("normalise")
+    gone = staged(exact_groups(docs, id_col, text_col, **options).filter(~F.col("kept")), "exact-copies")
+    other = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    sha = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
+    kept = docs.join(other, docs[id_col].cast("long").eqNullSafe(other["_gone"]) & (sha == other["_sha"]), "left_anti")
+    repeated = gone.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
