@@ -53,7 +53,8 @@ def iso_ms(text: Column, naive: str = "reject") -> Column:
 
 def epoch_ms(number: Column) -> Column:
     """Seconds or milliseconds as milliseconds: below 1e11 it is seconds; zero and less is null."""
-    return F.when(number <= 0, F.lit(None)).when(number < 100_000_000_000, number * 1000).otherwise(number)
+    n = number.cast("long")
+    return F.when(n <= 0, F.lit(None)).when(n < 100_000_000_000, n * 1000).otherwise(n)
 
 
 def local_time(ms: Column, zone: str) -> Column:
