@@ -94,10 +94,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows; other columns are ignored."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     known = F.broadcast(known_digests(docs.sparkSession))  # as many rows as KNOWN has
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _lines(text).alias("lines"))
-    whole = rows.select("doc_id", "row", _digest(F.array_join("lines", " ")).alias("digest")).join(known, "digest", "left")
-    lines = rows.select("row", F.explode("lines").alias("line")).select("row", _digest(F.col("line")).alias("digest")).join(known, "digest")
-    found = lines.groupBy("row").agg(F.sort_array(F.collect_set("license")).alias("notices"), F.count("*").alias("n_notices"))
-    return whole.join(found, "row", "left").select(
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), _lines(text).alias("lines"))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    whole = rows.select("doc_id", "key", "row", _digest(F.array_join("lines", " ")).alias("digest")).join(known, "digest", "left")
+    lines = rows.select("key", "row", F.posexplode("lines").alias("at", "line")).select("key", "row", "at", _digest(F.col("line")).alias("digest")).join(known, "digest")
+    # Repeated rows are known by the same key: each line of theirs counts once.
+    once = lines.groupBy("key", "row", "at").agg(F.first("license").alias("license"))
+    found = once.groupBy("key", "row").agg(F.sort_array(F.collect_set("license")).alias("notices"), F.count("*").alias("n_notices"))
+    return whole.join(found, ["key", "row"], "left").select(
         "doc_id", F.col("digest").alias("canonical_sha256"), "license",
         F.coalesce("notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

@@ -18,13 +18,14 @@ SENTENCE = r"(?:\S*[^\s.!?][^\S\n]+){0,11}\S+\s*"
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_sentences, n_removed, kept`` (the text that is left).
 
-    The first run is that of the least identifier (nulls last), then of the earlier row and place;
+    The first run is that of the least identifier (nulls last), then of the earlier place;
     repeats within one text count too. A text of fewer than ``span`` sentences has no runs and stays
-    whole. A null text is empty; white space before the first sentence is dropped; repeated rows are
-    judged as separate texts; other columns are ignored.
+    whole. A null text is empty; white space before the first sentence is dropped; rows that are equal
+    in identifier and text are one text, and get one answer; other columns are ignored.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+    # A row is known by identifier and text: a number given to it would not survive another reading.
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"),
                        F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1).alias("sentences"))
     bare = F.transform("sentences", lambda s: F.regexp_replace(s, r"\s+$", ""))
     hashed = rows.select("doc_id", "row", F.transform(bare, lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(span), s).alias("b"))).alias("h"))
@@ -35,10 +36,10 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ).select("doc_id", "row", "at", "run.a", "run.b")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = runs.join(first, ["a", "b"]).filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-    gone = later.groupBy("row").agg(F.collect_set("at").alias("starts"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))
+    gone = runs.join(first, ["a", "b"]).filter(other).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "row").agg(F.collect_set("at").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda i: F.sequence(i, i + span - 1))))
-    out = rows.join(gone, "row", "left").withColumn("covered", covered)
+    out = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, ["key", "row"], "left").withColumn("covered", covered)
     kept = F.filter("sentences", lambda s, i: ~F.array_contains("covered", i))
     kept = F.when(F.size("covered") == 0, F.col("sentences")).otherwise(kept)
     return out.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.size("covered").cast("long").alias("n_removed"),

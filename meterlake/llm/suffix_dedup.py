@@ -69,7 +69,14 @@ def segments(text: bytes, length: int, k: int = GRAM) -> Iterator[tuple[np.ndarr
 
 def _row_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
+    # A row is known by identifier and text: a number given to it would not survive another reading.
+    return rows.withColumn("row", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text"))
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Whether some row stands in the table more than once."""
+    return rows.groupBy("row", "mark").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
 
 
 def _names(rows: DataFrame, length: int) -> DataFrame:
@@ -91,18 +98,18 @@ def _names(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _segments(rows: DataFrame, length: int) -> DataFrame:
-    """``name, row, at, n, digest`` of every segment."""
-    arrow = pa.schema([("name", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+    """``name, row, mark, at, n, digest`` of every segment."""
+    arrow = pa.schema([("name", pa.int64()), ("row", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                for row, text in zip(part.column("row").to_pylist(), texts, strict=True):
+                for row, mark, text in zip(part.column("row").to_pylist(), part.column("mark").to_pylist(), texts, strict=True):
                     for name, at, n, _ in segments(text, length):
                         digests = [xxhash.xxh3_128_digest(text[a : a + m + length - 1]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(at), row)), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], schema=arrow)
+                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(at), row)), pa.array(np.full(len(at), mark)), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], schema=arrow)
 
-    return rows.select("row", "text").mapInArrow(_merged(run), "name long, row long, at long, n long, digest binary")
+    return rows.select("row", "mark", "text").mapInArrow(_merged(run), "name long, row long, mark long, at long, n long, digest binary")
 
 
 def _merged(run):
@@ -187,21 +194,22 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     parts = staged(_segments(rows, length).join(names.select("name"), "name"), "segments")
 
     # Segments of equal bytes are one; the least row and place stands for them.
-    distinct = parts.groupBy("name", "digest").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    distinct = parts.groupBy("name", "digest").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("row", "mark", "at")).alias("one"))
     distinct = staged(distinct, "distinct-segments")
     kinds = distinct.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + length - 1).alias("bytes"))
     unlike = distinct.join(kinds, "name").filter("kinds > 1 OR times = 1")
-    cut = unlike.groupBy("one.row").agg(F.collect_list(F.struct("name", "digest", F.col("one.at").alias("at"), "n", "bytes")).alias("cuts"))
-    texts = cut.join(rows.select("row", "text"), "row").select("text", F.explode("cuts").alias("c"))
+    cut = unlike.groupBy(F.col("one.row").alias("row"), F.col("one.mark").alias("mark")).agg(F.collect_list(F.struct("name", "digest", F.col("one.at").alias("at"), "n", "bytes")).alias("cuts"))
+    texts = cut.join(rows.select("row", "mark", "text"), ["row", "mark"]).select("text", F.explode("cuts").alias("c"))
     bytes_ = F.substring(F.encode("text", "utf-8"), (F.col("c.at") + 1).cast("int"), (F.col("c.n") + length - 1).cast("int"))
-    shown = staged(texts.select("c.name", "c.digest", bytes_.alias("bytes"), (F.col("c.bytes") > NAME_BYTES).alias("large")), "segment-bytes")
+    shown = texts.select("c.name", "c.digest", bytes_.alias("bytes"), (F.col("c.bytes") > NAME_BYTES).alias("large"))
+    shown = staged(shown.dropDuplicates(["name", "digest"]) if _repeated(rows) else shown, "segment-bytes")
     found = _sharded(shown.filter("NOT large").drop("large"), length).unionByName(_windowed(shown.filter("large").drop("large"), length))
 
     whole = distinct.filter("times > 1").select("name", "digest", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("runs"))
     single = distinct.filter("times = 1").select("name", "digest").join(found, ["name", "digest"])
-    covered = parts.join(whole.unionByName(single), ["name", "digest"]).select("row", F.transform(
+    covered = parts.join(whole.unionByName(single), ["name", "digest"]).select("row", "mark", F.transform(
         "runs", lambda r: F.struct((r["a"] + F.col("at")).alias("start"), (r["b"] + F.col("at") + length - 1).alias("end"))).alias("spans"))
-    spans = covered.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = covered.groupBy("row", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
                            T.StructField("kept", T.BinaryType())])
@@ -227,4 +235,4 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(out, span_type), pa.array(kept, pa.binary())],
                                                  names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(keep, schema)
+    return rows.join(spans, ["row", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(keep, schema)
