@@ -28,8 +28,8 @@ from meterlake.llm.staging import staged
 
 #: Pages that the model is fitted on at most: those of least hash of url and page_id.
 MAX_TRAINING_PAGES = 240
-#: Layouts that each of them is rebuilt into.
-LAYOUTS = 5
+#: Pages of other layouts that they are rebuilt into together, at least so many from each.
+REBUILT, LAYOUTS = 1200, 5
 #: Fixed: tokens of class, id and role that speak for and against main text.
 FOR = "article content post entry main body story text blog page single prose".split()
 AGAINST = {
@@ -220,16 +220,16 @@ def rebuilt(sentences: list[str], rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{few(5)}</title></head><body>{parts}" + pick(["</body></html>", ""])
 
 
-def _training_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _training_rows(frames: Iterator[pd.DataFrame], layouts: int) -> Iterator[pd.DataFrame]:
     known: dict[str, tuple] = {}
     for frame in frames:
         for seed, source in zip(frame["seed"], frame["html"], strict=True):
             rng = random.Random(int(seed))
             page = dom.read(source)
-            own, truth = [(page, t)] if (t := _truth(page, False)) is not None else [], None
+            own, truth = [(page, t)] * 3 if (t := _truth(page, False)) is not None else [], None
             inside = own[0][1] if own else None
             sentences = [s for node, text, _ in page.blocks if inside is None or inside[node] for s in re.split(r"(?<=[.!?])\s+", text) if s][:400]
-            for _ in range(LAYOUTS if sentences else 0):
+            for _ in range(layouts if sentences else 0):
                 made = dom.read(rebuilt(sentences, rng))
                 if (truth := _truth(made, True)) is not None:
                     made.attrs = [re.sub(r' ?data-main="\d"', "", a) for a in made.attrs]
@@ -283,7 +283,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
     """Fit the trees on ``max_pages`` pages at most; None if no page has text to learn from."""
     rows = pages.select(F.xxhash64(pages[url_col], pages[id_col]).alias("seed"), pages[html_col].cast("string").alias("html")).filter(F.col("html") != "")
     chosen = rows.orderBy("seed", F.length("html")).limit(max_pages).repartition(8, "seed")
-    nodes = staged(chosen.mapInPandas(_training_rows, "features array<double>, label double"), "dom-nodes")
+    chosen = staged(chosen, "training-pages")
+    layouts = max(LAYOUTS, -(-REBUILT // max(1, chosen.count())))
+    nodes = staged(chosen.mapInPandas(lambda frames: _training_rows(frames, layouts), "features array<double>, label double"), "dom-nodes")
     if nodes.select("label").distinct().count() < 2:
         return None
     grown = GBTClassifier(maxIter=24, maxDepth=5, stepSize=0.25, maxBins=48, subsamplingRate=1.0, seed=7, cacheNodeIds=False)
