@@ -12,6 +12,7 @@ from meterlake.functions import scalars, screens
 from meterlake.operators import attribution, counting, identity, linking, measures, paths, quality, sequences, trends, upserts
 from meterlake.plans import agents, bookmarks, capacity, health, usage
 from meterlake.schemas import TOKEN_FIELDS
+from meterlake.sources import session_log, transcript
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -570,6 +571,41 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.batch_status(rows).drop("error_kind")
 
 
+# -- logs written and read back ------------------------------------------------------------------
+
+
+def _at(turn) -> object:
+    return F.concat(F.lit("2026-09-01T00:00:"), F.lpad((turn % 60).cast("string"), 2, "0"), F.lit("Z"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, conv_id || '-' || (turn // 2) AS id, length(text) % 1000 AS output FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+    SELECT id || '+' AS source_request_key, 'h:c' || any_value(conv_id) AS session_key, max(output)::BIGINT AS output_tokens, any_value(conv_id)::BIGINT AS uncached_input_tokens,
+           1788220800000 + arg_min(turn % 60, (-output, turn)) * 1000 AS observed_at FROM c GROUP BY id""")
+def parse_roundtrip_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    usage_ = F.struct(F.col("conv_id").alias("input_tokens"), (F.length("text") % 1000).alias("output_tokens"))
+    message = F.struct(F.concat_ws("-", "conv_id", F.expr("turn div 2")).alias("id"), F.lit("m").alias("model"), usage_.alias("usage"), F.col("text").alias("content"))
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), _at(F.col("turn")).alias("timestamp"), message.alias("message")))
+    lines = c.select(line.alias("value"), F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"))
+    found = transcript.observations(transcript.parsed(lines), "log", "h", "p", b"0123456789abcdef")
+    return found.select("source_request_key", "session_key", "output_tokens", "uncached_input_tokens", "observed_at")
+
+
+@query("""SELECT CASE WHEN turn % 3 = 0 THEN 'aux:' ELSE '' END || conv_id || '-' || turn AS source_request_key, 'h:c' || conv_id AS session_key, turn % 3 = 0 AS auxiliary, (length(text) % 1000)::BIGINT AS output_tokens,
+           CASE WHEN turn % 2 = 0 THEN turn::BIGINT END AS cache_read_input_tokens, 1788220800000 + (turn % 60) * 1000 AS observed_at FROM conversations WHERE role = 'assistant' AND text IS NOT NULL""")
+def parse_roundtrip_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.table(spark, sf_dir, "conversations").filter("text IS NOT NULL AND role = 'assistant'")
+    usage_ = F.struct((F.length("text") % 1000).alias("output"), F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("cacheRead"))
+    own, at, file = F.concat_ws("-", "conv_id", "turn"), _at(F.col("turn")), F.concat(F.lit("/logs/"), "conv_id", F.lit(".jsonl"))
+    message = F.struct(F.lit("message").alias("type"), own.alias("id"), at.alias("timestamp"), F.struct(F.lit("assistant").alias("role"), F.lit("m").alias("model"), usage_.alias("usage"), F.col("text").alias("content")).alias("message"))
+    call = F.struct(F.lit("model_usage").alias("type"), own.alias("id"), at.alias("timestamp"), F.lit("m").alias("model"), usage_.alias("usage"))
+    lines = c.select(F.when(F.col("turn") % 3 == 0, F.to_json(call)).otherwise(F.to_json(message)).alias("value"), file.alias("file"), (F.col("turn") + 1).alias("line"))
+    header = F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("c"), "conv_id").alias("id")))
+    heads = c.select("conv_id").distinct().select(header.alias("value"), file.alias("file"), F.lit(0).cast("long").alias("line"))
+    rows = transcript.parsed(lines.unionByName(heads), session_log.MUST_HOLD)
+    return session_log.observations(rows, "log", "h").select("source_request_key", "session_key", "auxiliary", "output_tokens", "cache_read_input_tokens", "observed_at")
+
+
 # -- hashing and screens -------------------------------------------------------------------------
 
 
