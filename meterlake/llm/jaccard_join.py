@@ -7,7 +7,8 @@ below a tolerance; the rest is verified on the whole shingle sets.
 
 No bucket is ever expanded into all its pairs. First every set is tried against the least set of its
 buckets, which joins nearly all that belongs together; then, only in buckets that still hold several
-classes, sets of different classes are tried against each other, in blocks of bounded size. Classes
+classes, sets of different classes are tried against each other, in blocks of bounded size that give
+at most one link for each set and other class. Classes
 are the connected components of verified links. Links are counted within each class, block by block.
 """
 
@@ -30,7 +31,7 @@ from meterlake.llm.words import Hashes, mix, shingles, slices, words
 
 BANDS, ROWS = 32, 4
 #: Sets of a class or bucket that one task compares with as many others at once.
-BLOCK = 256
+BLOCK = 1024
 #: Steps after which a pair may be dropped.
 STEPS = (16, 32, 64, 128)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -143,52 +144,80 @@ def _blocked(rows: DataFrame, key: str, size: str) -> DataFrame:
     return rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
 
-def _cross_pairs(buckets: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
-    """Pairs of sets of different classes within a bucket that Bayesian pruning leaves."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``: products of slices of the
+    incidence matrix of the shingles that more than one set has."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    several = often[code] > 1
+    _, code = np.unique(code[several], return_inverse=True)
+    owner, order = owner[several], np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        a, b = np.searchsorted(code, [start, start + 4096])
+        dense = np.zeros((len(sets), 4096), np.float32)
+        dense[owner[a:b], code[a:b] - start] = 1
+        both += dense[left] @ dense[right].T
+    return both
+
+
+def _near(frame: pd.DataFrame, k: int, threshold: float, limits: list[tuple[int, int]], candidate: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a frame, and which pairs of them are similar: pairs that pruning
+    leaves (``candidate``, or all) are decided on the whole shingle sets."""
+    hashes, own = Hashes(), frame["own"].to_numpy()
+    left, right = np.flatnonzero(own == frame["lo"].iat[0]), np.flatnonzero(own == frame["hi"].iat[0])
+    same = frame["lo"].iat[0] == frame["hi"].iat[0]  # then every pair is met once, from its earlier row
+    values, mask = _signatures(frame["bands"].tolist()), np.zeros((len(left), len(right)), bool)
+    for i, row in enumerate(left):
+        ask = np.flatnonzero(right > row if same else right >= 0) if candidate is None else np.flatnonzero(candidate[row, right])
+        alive = surviving(np.broadcast_to(values[row], (len(ask), values.shape[1])), values[right[ask]], limits)
+        mask[i, ask[alive]] = True
+    used = np.unique(np.concatenate([left[mask.any(axis=1)], right[mask.any(axis=0)]]))
+    if not len(used):
+        return left, right, mask
+    sets = [shingle_set(t.encode(), k, hashes) for t in frame["text"].iloc[used]]
+    place, sizes = np.zeros(len(frame), np.int64), np.zeros(len(frame))
+    place[used], sizes[used] = np.arange(len(used)), [len(s) for s in sets]
+    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    both = _shared(sets, place[left[rows]], place[right[columns]])
+    close = both >= threshold * (sizes[left[rows]][:, None] + sizes[right[columns]][None, :] - both) - 1e-6
+    mask[np.ix_(rows, columns)] &= close
+    return left, right, mask
+
+
+def _cross_links(buckets: DataFrame, k: int, threshold: float, limits: list[tuple[int, int]]) -> DataFrame:
+    """Links between sets of different classes in a bucket, one at most for each set and other class.
+    A pair that shares several bands is decided in the first of them."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["own", "sid"], ignore_index=True)
-        values, label = _signatures(frame["bands"].tolist()), pd.factorize(frame["root"])[0]
-        lo, hi = frame["lo"].iat[0], frame["hi"].iat[0]
+        label = pd.factorize(frame["root"])[0]
+        bands = np.array(frame["bands"].tolist(), dtype=np.int64)
+        band = int(frame["band"].iat[0])
+        candidate = label[:, None] != label[None, :]
+        if frame["lo"].iat[0] == frame["hi"].iat[0]:
+            candidate &= np.arange(len(frame))[:, None] < np.arange(len(frame))[None, :]
+        for earlier in range(band):
+            candidate &= bands[:, earlier][:, None] != bands[:, earlier][None, :]
+        left, right, near = _near(frame, k, threshold, limits, candidate)
         out = []
-        for i in np.flatnonzero(frame["own"].to_numpy() == lo):
-            rest = np.flatnonzero((frame["own"].to_numpy() == hi) & (label != label[i]) & ((lo != hi) | (np.arange(len(frame)) > i)))
-            near = rest[surviving(np.broadcast_to(values[i], (len(rest), values.shape[1])), values[rest], limits)]
-            out += [(frame["sid"].iat[i], frame["sid"].iat[j]) for j in near]
+        for i in np.flatnonzero(near.any(axis=1)):
+            hits = right[near[i]]
+            _, first = np.unique(label[hits], return_index=True)
+            out += [(frame["sid"].iat[left[i]], frame["sid"].iat[j]) for j in hits[first]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return _blocked(buckets, "key", "n").groupBy("band", "key", "lo", "hi").applyInPandas(run, "a binary, b binary").distinct()
+    return _blocked(buckets, "key", "n").groupBy("band", "key", "lo", "hi").applyInPandas(run, "a binary, b binary")
 
 
 def _link_counts(members: DataFrame, k: int, threshold: float, limits: list[tuple[int, int]]) -> DataFrame:
     """For each set of a class the documents it is linked to, counted block by block."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = Hashes()
-        own, lo, hi = frame["own"].to_numpy(), frame["lo"].iat[0], frame["hi"].iat[0]
-        sets = [shingle_set(t.encode(), k, hashes) for t in frame["text"]]
-        values, sizes = _signatures(frame["bands"].tolist()), np.array([len(s) for s in sets])
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        # Shingles that only one of the sets has say nothing about pairs.
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = often[code] > 1
-        _, code = np.unique(code[shared], return_inverse=True)
-        owner = owner[shared]
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        both = np.zeros((len(left), len(right)))
-        for start in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-            a, b = np.searchsorted(code, [start, start + 4096])
-            dense = np.zeros((len(sets), 4096), np.float32)
-            dense[owner[a:b], code[a:b] - start] = 1
-            both += dense[left] @ dense[right].T
-        near = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
-        near &= left[:, None] != right[None, :]
+        left, right, near = _near(frame, k, threshold, limits, None)
         weight = frame["docs"].to_numpy()
         out = [(frame["sid"].iat[i], int(n)) for i, n in zip(left, near @ weight[right], strict=True) if n]
-        if lo != hi:
-            out += [(frame["sid"].iat[i], int(n)) for i, n in zip(right, near.T @ weight[left], strict=True) if n]
+        out += [(frame["sid"].iat[i], int(n)) for i, n in zip(right, near.T @ weight[left], strict=True) if n]
         return pd.DataFrame(out, columns=["sid", "links"])
 
     counts = _blocked(members, "root", "n").groupBy("root", "lo", "hi").applyInPandas(run, "sid binary, links long")
@@ -224,8 +253,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classed = buckets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = classed.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
-    open_ = classed.join(mixed, ["band", "key"]).join(sets.select("sid", "bands"), "sid").select("band", "key", "sid", "root", "bands", "n")
-    second = _verified(_cross_pairs(open_, limits), texts, k, threshold)
+    open_ = classed.join(mixed, ["band", "key"]).join(sets.select("sid", "bands"), "sid").join(texts, "sid").select("band", "key", "sid", "root", "bands", "text", "n")
+    second = _cross_links(open_, k, threshold, limits)
     every = staged(first.unionByName(second), "links")
     roots = staged(components(every, "a", "b"), "classes")
 
@@ -258,5 +287,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, all columns: of each class the row with the least identifier.
     Identifiers should be unique; rows that share the one that stays all stay."""
     classes = jaccard_classes(docs, id_col, text_col, count_links=False, **options)
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
