@@ -17,6 +17,7 @@ _BLOCK = set(BLOCKS)
 #: A start tag ends an open element of these names, up to the nearest element of the second set.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
          "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _KEEPS_P = {"label", "legend", "caption", "summary", "td", "th", "tr", "li", "dd", "dt", "body", "html", "tbody", "thead", "tfoot"}
 
 
@@ -87,7 +88,8 @@ def read(source: str) -> Page:
             continue
         name = name.lower()
         if found.group(1):
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            ends = _HEADINGS if name in _HEADINGS else {name}  # any heading's end tag ends an open heading
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ends), 0)
             if i and (name in _BLOCK or not any(s[0] in _BLOCK for s in stack[i:])):
                 close(i)
             continue
