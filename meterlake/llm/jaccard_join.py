@@ -32,6 +32,8 @@ from meterlake.llm.words import Hashes, mix, shingles, slices, words
 BANDS, ROWS = 32, 4
 #: Sets of a class or bucket that one task compares with as many others at once.
 BLOCK = 1024
+#: Buckets of so many sets at most are paired by expressions; larger ones go block by block.
+SMALL = 8
 #: Steps after which a pair may be dropped.
 STEPS = (16, 32, 64, 128)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -210,6 +212,14 @@ def _cross_links(buckets: DataFrame, k: int, threshold: float, limits: list[tupl
     return _blocked(buckets, "key", "n").groupBy("band", "key", "lo", "hi").applyInPandas(run, "a binary, b binary")
 
 
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs of different classes within buckets of ``SMALL`` sets at most."""
+    members = buckets.groupBy("band", "key").agg(F.collect_list(F.struct("sid", "root")).alias("m"))
+    each = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b"), (x["root"] != y["root"]).alias("apart"))))
+    pairs = members.select(F.inline(F.filter(F.flatten(each), lambda p: p["apart"])))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _link_counts(members: DataFrame, k: int, threshold: float, limits: list[tuple[int, int]]) -> DataFrame:
     """For each set of a class the documents it is linked to, counted block by block."""
 
@@ -253,8 +263,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classed = buckets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = classed.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
-    open_ = classed.join(mixed, ["band", "key"]).join(sets.select("sid", "bands"), "sid").join(texts, "sid").select("band", "key", "sid", "root", "bands", "text", "n")
-    second = _cross_links(open_, k, threshold, limits)
+    open_ = classed.join(mixed, ["band", "key"])
+    large = open_.filter(F.col("n") > SMALL).join(sets.select("sid", "bands"), "sid").join(texts, "sid").select("band", "key", "sid", "root", "bands", "text", "n")
+    few = _verified(_pruned(_small_pairs(open_.filter(F.col("n") <= SMALL)), sets, limits), texts, k, threshold)
+    second = _cross_links(large, k, threshold, limits).unionByName(few)
     every = staged(first.unionByName(second), "links")
     roots = staged(components(every, "a", "b"), "classes")
 

@@ -149,9 +149,10 @@ def brute_classes(rows, k=5, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_jaccard_classes(spark, docs, rows, block, monkeypatch):
+@pytest.mark.parametrize("block,small", [(1024, 8), (2, 1)])
+def test_jaccard_classes(spark, docs, rows, block, small, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
     got = jaccard_join.jaccard_classes(docs)
     assert as_bag(tuple(r) for r in got.collect()) == as_bag(brute_classes(rows))
     stays = jaccard_join.one_of_each(docs)
@@ -160,8 +161,10 @@ def test_jaccard_classes(spark, docs, rows, block, monkeypatch):
     assert as_bag(r.doc_id for r in stays.select("doc_id").collect()) == as_bag(want)
 
 
-def test_jaccard_chains(spark):
+@pytest.mark.parametrize("small", [8, 1])
+def test_jaccard_chains(spark, small, monkeypatch):
     """Near copies in chains, so that a class is more than a star."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
     rng = random.Random(4)
     rows, n = [], 0
     for g in range(6):
