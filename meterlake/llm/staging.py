@@ -1,28 +1,6 @@
-"""Tables written to the folder that driver and executors share.
+"""Tables written to the folder that driver and executors share; see :mod:`meterlake.lineage`."""
 
-Cutting lineage with a written table keeps a job restartable from that table when executors are
-lost, and computes the rows once where several later steps read them.
-"""
+from meterlake.lineage import cut as staged
+from meterlake.lineage import shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="meterlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to a fresh path in the shared folder and return it as read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "staged"]
