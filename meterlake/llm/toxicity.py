@@ -41,11 +41,17 @@ _OTHER, _SIDE = len(_ALPHABET) + 1, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S[.\-_*]?(?:\s\S[.\-_*]?){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S[.\-_*,;:!?/|~]*(?:\s+\S[.\-_*,;:!?/|~]*)+(?!\S)")
+_WIDE = re.compile(r"\s{2,}|[^\S ]")
+_DOTTED = re.compile(r"(?<![^\W_])[^\W_][.\-_*~^][^\W_][.\-_*~^][^\W_](?![^\W_])")
 _TRIM = ".,;:?'\"…»«”“‘’)]}>%&#~"
 _SPLIT = re.compile(r"[./\\_=<>&%#,;:?\"]")
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|(+€£*^~.\-_]+[^\W\d_]|^[0-9@$!|(+€£][^\W\d_]")
+_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|(+€£*^~.\-_]+[^\W\d_]|^[0-9@$!|(+€£][^\W\d_]|^[^*].*(?<=[^\W\d_])[0-9@$!|(+€£*]+$")
 _MASK = "*"
+#: Signs that are decoded at once; windows overlap by the longest word looked for.
+_WINDOW, _LONGEST = 4096, 64
+#: Nats by which a reading of a run may fall short of the likeliest one and its words still count.
+_SLACK = 4.0
 _DROP, _MASKED, _STAND, _REPEAT = -8.0, math.log(1 / 26), math.log(0.5), math.log(0.5)
 _EDGE_CODES = np.array([_CODE.get(bytes([b]).decode("latin-1").lower(), _OTHER if b >= 128 and chr(b).isalpha() else 0) for b in range(256)], np.int64)
 
@@ -81,16 +87,18 @@ def letter_model(counts: np.ndarray) -> list[float]:
     return np.log(p3).reshape(-1).tolist()
 
 
-def restore(token: str, model: list[float]) -> str:
-    """The likeliest plain word behind a disguised token, by Viterbi over its letter lattice."""
+def restore(token: str, model: list[float], gaps: bool = False, repeats: bool = True) -> str:
+    """The likeliest plain word behind a disguised token, by Viterbi over its letter lattice. With
+    ``gaps`` a word may end after any letter, so that the result may be several words; without
+    ``repeats`` no repeated letter is dropped."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     previous, run = "", 0
     signs = token.lower()
     for at, ch in enumerate(signs):
         run = run + 1 if ch == previous else 1
         if ch in _CODE:
-            ways = [(ch, 0.0)] + ([(None, _REPEAT)] if run > 1 else [])
-        elif ch == _MASK and signs[at - 1 : at].isalpha() and signs[at + 1 : at + 2].isalpha():
+            ways = [(ch, 0.0)] + ([(None, _REPEAT)] if repeats and run > 1 else [])
+        elif ch == _MASK and signs[at - 1 : at].isalpha() and (at + 1 == len(signs) or signs[at + 1].isalpha()):
             ways = [(c, _MASKED) for c in _ALPHABET[:26]] + [(None, _DROP)]
         elif ch in SIGNS:
             ways = [(c, _STAND) for c in SIGNS[ch]] + [(None, _DROP)]
@@ -106,13 +114,49 @@ def restore(token: str, model: list[float]) -> str:
                     key, value, path = (b, c), score + cost + model[(a * _SIDE + b) * _SIDE + c], (letter, out)
                 if key not in after or value > after[key][0]:
                     after[key] = (value, path)
+        if gaps:
+            for (a, b), (score, out) in [x for x in after.items() if x[0][1]]:
+                value = score + model[(a * _SIDE + b) * _SIDE]
+                if (b, 0) not in after or value > after[b, 0][0]:
+                    after[b, 0] = (value, (" ", out))
         states = after
-    _, path = max(((s + model[(a * _SIDE + b) * _SIDE], p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
+    ends = ((s if gaps and not b else s + model[(a * _SIDE + b) * _SIDE], p) for (a, b), (s, p) in states.items())
+    _, path = max(ends, key=lambda x: x[0])
     letters = []
     while path:
         letters.append(path[0])
         path = path[1]
-    return "".join(reversed(letters))
+    return "".join(reversed(letters)).strip()
+
+
+def likely_words(letters: str, model: list[float]) -> set[str]:
+    """The words of every way to cut a run of letters that is nearly as likely as the likeliest way."""
+    n = len(letters)
+    if not n:
+        return set()
+    c = np.array([0, 0, *(_CODE.get(x, _OTHER) for x in letters)])
+    p = lambda a, b, x: np.array([model[i] for i in (a * _SIDE + b) * _SIDE + x])
+    begin, second, inner = p(c[1:-1], c[2:] * 0, c[2:]), p(c[2:] * 0, c[1:-1], c[2:]), np.cumsum(p(c[:-2], c[1:-1], c[2:]))
+    single, end = p(c[2:] * 0, c[2:], c[2:] * 0), p(c[1:-1], c[2:], c[2:] * 0)
+    # A word's letters after its first two depend on nothing before it: sums of them are differences.
+    two = np.concatenate([begin[:-1] + second[1:] - inner[1:], [0.0]])
+
+    def ending(j: int) -> np.ndarray:
+        """Of the words that end before ``j``, by their first letters' places."""
+        lo = max(0, j - _LONGEST)
+        return np.append(two[lo : j - 1] + inner[j - 1] + end[j - 1], begin[j - 1] + single[j - 1])
+
+    costs = [ending(j) for j in range(1, n + 1)]
+    best, rest = np.zeros(n + 1), np.full(n + 1, -np.inf)
+    for j in range(1, n + 1):
+        best[j] = (best[max(0, j - _LONGEST) : j] + costs[j - 1]).max()
+    rest[n], found = 0.0, set()
+    for j in range(n, 0, -1):
+        lo = max(0, j - _LONGEST)
+        ways = costs[j - 1] + rest[j]
+        rest[lo:j] = np.maximum(rest[lo:j], ways)
+        found.update(letters[lo + i : j] for i in np.flatnonzero(best[lo:j] + ways >= best[n] - _SLACK).tolist())
+    return found
 
 
 class Reader:
@@ -134,18 +178,40 @@ class Reader:
             return (restore(token, self.model),) if _TRIPLE.search(token.lower()) else (token.lower(),)
         bare = token.strip(_TRIM)
         plain = tuple(w.lower() for w in _LETTERS.findall(bare))
-        if len(bare) <= 64 and (_DISGUISED.search(bare) or _TRIPLE.search(bare.lower())):
+        if _DISGUISED.search(bare) or _TRIPLE.search(bare.lower()):
             parts = [bare] + [p for p in _SPLIT.split(bare) if p != bare and _DISGUISED.search(p)]
-            return plain + tuple(w for p in parts if (w := restore(p, self.model)))
+            found = {w for p in parts if len(p) <= _LONGEST and (w := restore(p, self.model))}
+            if len(bare) > _LONGEST or _DOTTED.search(bare):
+                found |= self.run_on(bare)
+            return plain + tuple(sorted(found))
         return plain
 
+    def run_on(self, signs: str) -> set[str]:
+        """The words of disguised writing without gaps between words."""
+        found = set()
+        for lo in range(0, max(1, len(signs) - _LONGEST), _WINDOW - _LONGEST):
+            window = signs[lo : lo + _WINDOW]
+            read = {restore(window, self.model, True, repeats).replace(" ", "") for repeats in (True, False)}
+            found.update(*(likely_words(letters, self.model) for letters in read))
+        return found
+
     def spaced(self, text: str, tokens: list[str]) -> Iterator[str]:
-        """Words written as single letters with gaps."""
-        if [*map(len, tokens)].count(1) > 3:
-            for run in _SPACED.findall(text):
-                letters = "".join(t[0] for t in run.split())
-                for lo in range(0, len(letters), 24):
-                    yield restore(letters[lo : lo + 24], self.model)
+        """Words written as single letters with gaps; wider gaps may stand between words."""
+        for run in _SPACED.findall(text):
+            stretches = {run, *_WIDE.split(run)} if _WIDE.search(run) else {run}
+            for letters in sorted({"".join(t[0] for t in x.split()) for x in stretches} - {""}):
+                yield from self.unspaced(letters)
+
+    def unspaced(self, letters: str) -> tuple[str, ...]:
+        got = self.known.get(letters + " ")
+        if got is None:
+            whole = {restore(letters, self.model)} - {""} if len(letters) <= _LONGEST else set()
+            got = tuple(sorted(self.run_on(letters) | whole))
+            if len(letters) <= _WINDOW:
+                if len(self.known) >= self.memory:
+                    self.known.clear()
+                self.known[letters + " "] = got
+        return got
 
     def read(self, text: str) -> set[str]:
         """The distinct restored words of a text."""

@@ -240,6 +240,34 @@ def test_toxicity(spark, toxic, docs):
     assert clean.columns == disguised.columns and [r.doc_id for r in clean.collect()] == [5]
 
 
+def test_toxicity_disguised_in_any_length(spark, toxic):
+    model = toxicity.fit(*toxic)
+    spaced = lambda text, sign="", gap=" ": " ".join(gap.join(c + sign for c in w) for w in text.split())
+    bad = [
+        spaced("vilething", "."), "river is a " + spaced("vilething") + " stone", spaced("river stone a nastyword window"), "river\n" + spaced("nasty", ",") + " " + spaced("word", ","),
+        "a.n.a.s.t.y.w.o.r.d window", "river/" + "window=garden&" * 9 + "n4styw0rd&stone=1", "r1ver" * 13 + "n4styw0rd" + "st0ne" * 900, "river  " + spaced("garden nastyword").replace("n n", "n   n"),
+        spaced("winter summer bread " * 2) + " " + spaced("vilething"), *(spaced(f"{'garden'[:n]}nastyword") for n in range(7)),
+    ]
+    good = [spaced("river stone window"), "a b c", spaced("summer", "."), "r1ver" * 900, "1 2 3 4 5 6 7 8"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(table, model).orderBy("doc_id").collect()] == [1] * len(bad) + [0] * len(good)
+    reader = toxicity.Reader(model.letters)
+    assert "windows" in reader._words("window5") and {"to", "us"} <= {*reader.read("t o"), *reader.read("u s")}
+
+
+def test_likely_words_against_every_cut(toxic):
+    letters = toxicity.letter_model(toxicity.letter_counts(toxic[0]))
+    cost = lambda a, b, c: letters[(a * 64 + b) * 64 + c]
+    for run in ("ariverstone", "vilea", "x", "tt"):
+        ways = {}
+        for mask in range(2 ** (len(run) - 1)):
+            cut = "".join(c + (" " if mask >> i & 1 else "") for i, c in enumerate(run)) + " "
+            codes = [0, 0, *(0 if c == " " else toxicity._CODE[c] for c in cut)]
+            ways[cut] = sum(cost(*((codes[i - 2], 0, codes[i]) if codes[i - 1] == 0 else codes[i - 2 : i + 1])) for i in range(2, len(codes)))
+        most = max(ways.values())
+        assert toxicity.likely_words(run, letters) == {w for cut, s in ways.items() if s >= most - toxicity._SLACK for w in cut.split()}
+
+
 def test_toxicity_never_learns_from_held_out(spark, toxic):
     table, labels = toxic
     flipped = labels.withColumn("toxic", F.when(toxicity.in_held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
