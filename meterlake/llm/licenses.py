@@ -7,6 +7,8 @@ licences. Only DataFrame expressions are used.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,9 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: Full texts, a file for each SPDX identifier.
+TEXTS = Path(__file__).parent / "license_texts"
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 #: Spellings that count as the same word, as licence matching guidelines have them.
 SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("copyright holders", "copyright owners"), ("copyright holder", "copyright owner"),
@@ -80,9 +85,19 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(bare, _one_spelling), lambda x: (x != "") & ~F.regexp_like(x, F.lit(COPYRIGHT)))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """The shipped texts, and those with an appendix on how to apply them without it too."""
+    found = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, rest = text.partition(_END_OF_TERMS)
+        found += [(path.stem, text)] + ([(path.stem, terms + end), (path.stem, terms)] if rest.strip() else [])
+    return found
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """``digest, license`` of the known texts: as many rows as they are, whatever the corpus."""
-    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN])
+    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN + full_texts()])
     rows = spark.range(1).select(F.inline(listed))
     return rows.select(_digest(F.array_join(_lines(F.col("text")), " ")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
@@ -93,7 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     is) and ``n_notices`` (lines that are one). A null text is empty; repeated rows give repeated
     rows; other columns are ignored."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    known = F.broadcast(known_digests(docs.sparkSession))  # as many rows as KNOWN has
+    known = F.broadcast(known_digests(docs.sparkSession))  # as many rows as there are known texts
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), _lines(text).alias("lines"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     whole = rows.select("doc_id", "key", "row", _digest(F.array_join("lines", " ")).alias("digest")).join(known, "digest", "left")

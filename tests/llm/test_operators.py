@@ -381,6 +381,15 @@ def test_licenses(spark, docs, no_docs):
 # -- 9 -------------------------------------------------------------------------------------------
 
 
+def test_licenses_full_texts(spark):
+    texts = dict(licenses.full_texts()[::-1])
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= {*texts}
+    whole = [(n, (licenses.TEXTS / f"{n}.txt").read_text()) for n in texts]
+    table = spark.createDataFrame([*whole, *((n, t.upper()) for n, t in whole), ("Apache-2.0", dict(whole)["Apache-2.0"].split("   APPENDIX")[0]), (None, "more " + dict(whole)["MPL-2.0"])], "license string, text string")
+    got = licenses.scan(table.select(F.monotonically_increasing_id().alias("doc_id"), "text")).join(table.select(F.monotonically_increasing_id().alias("doc_id"), F.col("license").alias("want")), "doc_id").collect()
+    assert [(r.license, r.want) for r in got if r.license != r.want] == []
+
+
 def test_warc(spark, docs, rows, no_docs, tmp_path):
     pages = docs.drop("html").select(F.col("doc_id").alias("page_id"), F.lit("http://x/y").alias("url"), F.col("text").alias("html"), "payload", "row", "id")
     got = warc.round_trip(pages).collect()
