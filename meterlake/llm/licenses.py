@@ -1,6 +1,6 @@
 """Licence scan by canonical digest lookup.
 
-A text's case, punctuation, copyright lines and equivalent spellings are normalised; the digest of
+A text's case, punctuation, copyright statements and equivalent spellings are normalised; the digest of
 what is left, of the entire text and of each of its lines, is joined with the digests of known
 licences. Only DataFrame expressions are used.
 """
@@ -56,8 +56,29 @@ SPELLINGS: list[tuple[str, str]] = [
     ("licences", "licenses"), ("licenced", "licensed"), ("non infringement", "noninfringement"), ("organisation", "organization"), ("per cent", "percent"),
     ("program", "programme"), ("recognised", "recognized"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("sublicence", "sublicense"),
 ]
-#: A line that only says who holds the copyright.
+#: A line that begins as a copyright statement, as the SQL has it.
 COPYRIGHT = r"^(?:copyright|all rights reserved|c )(?: |$)"
+#: Texts that may hold a copyright statement.
+_MARKED = r"(?i)copyright|\(c\)|©|all\s+rights\s+reserved|^\W*c\s+\d{4}"
+_LEAD = r"(?:[^\p{L}\p{N}©(\n]|\((?!c\)))*"
+_YEAR = r"(?:\d{4}|[<\[{(]\s*(?:year|yyyy)[^\n>\]})]*[>\]})])"
+#: How what may stand behind a statement on its line begins.
+_BEHIND = (r"(?:permission (?:is hereby|to use)|redistribution and use|licen[cs]ed (?:under|to)|(?:is )?(?:released|distributed|made available|available) under|"
+           r"this (?:software|program|library|work|file|source|project|code|document|is)\b|the software is|everyone is permitted|all rights reserved|"
+           r"(?:the )?mit licen[cs]e|apache licen[cs]e|gnu (?:lesser |affero |library )?general public|spdx-licen[cs]e)")
+#: Words behind a bare 'copyright' that make it part of a sentence.
+_PROSE = r"(?:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|disclaimers?|interests?|permissions?|protection|infringements?|treat(?:y|ies)|acts?|and|or|in|is|to|of|for|on|as|at|are|was|may|has|can|does)\b"
+#: '(c)' is a sign, not the third item of a list, before a year or a few words that are all there is.
+_SIGNED = rf"(?=[\s,:]*{_YEAR}|(?:[^\S\n]+\S+){{1,4}}?[^\S\n]*(?:$|\s{_BEHIND}))"
+_HOLDER = rf"[^\n]*?(?:$|(?<!\b(?:inc|ltd|corp|co|jr|sr|dr|st|al|bros|llc|gmbh|\p{{L}}))[.;!?][\"')\]]*(?=\s+\p{{L}}|\s*$)|(?=[\s,;.(]{_BEHIND}))"
+#: Statements of the holder at a line's beginning, up to the sentence end, and 'all rights reserved'.
+STATEMENTS = (
+    rf"(?im)^(?:{_LEAD}(?:(?:(?:©|\(c\))[^\S\n]*copyright\b|copyright\b[\s:]*(?:©|\(c\))|©|\(c\){_SIGNED}|c(?=\s+\d{{4}})|copyright\b(?=[\s:,]*{_YEAR})|copyright\b(?=\s*$)|"
+    rf"copyright\b(?=\s+by\s|\s+the\s+\p{{L}}+\s*(?:$|authors|contributors|project|team|developers))|copyright\b(?=[^\S\n]+(?-i:\p{{Lu}}))(?!\s+{_PROSE})){_HOLDER}|"
+    rf"{_LEAD}all rights reserved\b[^\p{{L}}\p{{N}}\n]*))+"
+)
+#: A dated statement inside a line, if a licence goes on behind it.
+INSIDE = rf"(?im)\bcopyright\b[\s:]*(?:©|\(c\))?\s*{_YEAR}[^\n]*?(?:(?=\s{_BEHIND})|\s+all rights reserved\b[.\s]*)(?:all rights reserved\b[.\s]*)?"
 
 
 def _bare(line: Column) -> Column:
@@ -79,10 +100,12 @@ def _digest(words: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """Canonical lines that have words, in order; lines that only state a copyright are left out. Each
+    """Canonical lines that have words, in order, without their copyright statements. Each
     step is a transform of its own, so no step is computed again for every use of its result."""
+    stated = F.regexp_replace(F.regexp_replace(text, STATEMENTS, " "), INSIDE, " ")
+    text = F.when(F.regexp_like(text, F.lit(_MARKED)), stated).otherwise(text)
     bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(_bare(x), " +", " "))
-    return F.filter(F.transform(bare, _one_spelling), lambda x: (x != "") & ~F.regexp_like(x, F.lit(COPYRIGHT)))
+    return F.filter(F.transform(bare, _one_spelling), lambda x: x != "")
 
 
 def full_texts() -> list[tuple[str, str]]:

@@ -381,6 +381,28 @@ def test_licenses(spark, docs, no_docs):
 # -- 9 -------------------------------------------------------------------------------------------
 
 
+def test_licenses_behind_copyright_statements(spark):
+    mit, flat = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("Permission")), lambda t: " ".join(t.split())
+    bsd = next(t for n, t in licenses.KNOWN if n == "BSD-3-Clause" and t.startswith("Redistribution"))
+    apache = (licenses.TEXTS / "Apache-2.0.txt").read_text()
+    wholes = [
+        ("MIT", "Copyright 2020 X " + flat(mit)), ("MIT", "© 2019-2021 Foo Inc. and others. All rights reserved. " + flat(mit)), ("MIT", "MIT License Copyright (c) 2020 Jane Q. Roe " + flat(mit)),
+        ("MIT", " * Copyright Foo Corp.\n" + mit.replace(" OR COPYRIGHT", " OR\nCOPYRIGHT")), ("MIT", "(c) 2001 A. B. Cee <a@b.org>\nCopyright (c) 2002 Dee, Inc.\nAll rights reserved.\n\n" + mit), ("MIT", "Copyright <YEAR> <COPYRIGHT HOLDER>\n" + mit),
+        ("BSD-3-Clause", "Copyright (c) 2020, The Authors. All rights reserved. " + flat(bsd)), ("BSD-3-Clause", "Copyright the authors\n" + bsd.replace(" COPYRIGHT", "\nCOPYRIGHT")), ("Apache-2.0", flat(apache)), ("Apache-2.0", re.sub(r" copyright(?! owner])", "\ncopyright", apache)),
+    ]
+    lines = [("MIT", "Copyright (c) 2024 Foo. Released under the MIT License."), ("MIT", "x\n# Copyright 2020 Foo Inc. Released under the MIT License."), ("CC-BY-4.0", "© Foo Bar. Licensed under CC BY 4.0."), ("CC-BY-4.0", "(c) Foo Bar. Licensed under CC BY 4.0."), ("MIT", "All rights reserved. Released under the MIT License.")]
+    kept = ["Copyright law in Europe protects works.", "Copyright holders agree.", "copyright notices stay", "C is a language", "(c) You must keep all of the notices", "Copyright Law in Europe protects works."]
+    none = ["Copyright (c) 2020 Someone", "© 2020 x", "All rights reserved.", "Copyright Foo Bar", "(C) Foo", "// Copyright 2020-2021, Foo Ltd. All Rights Reserved", "copyright: 2020 foo", "Copyright (c) 2020 A. Copyright (c) 2021 B."]
+    table = spark.createDataFrame(list(enumerate([t for _, t in wholes + lines] + kept + none)), "doc_id long, text string")
+    got = licenses.scan(table).orderBy("doc_id").collect()
+    a, b, c = len(wholes), len(wholes + lines), len(wholes + lines + kept)
+    assert [r.license for r in got[:a]] == [n for n, _ in wholes]
+    assert [r.notices for r in got[a:b]] == [[n] for n, _ in lines]
+    canonical = [" ".join(re.sub(r"\W+", " ", t.lower().replace("(c)", "copyright")).split()).replace("copyright holders", "copyright owners") for t in kept]
+    assert [r.canonical_sha256 for r in got[b:c]] == [hashlib.sha256(t.encode()).hexdigest() for t in canonical]
+    assert [r.canonical_sha256 for r in got[c:]] == [None] * len(none)
+
+
 def test_licenses_full_texts(spark):
     texts = dict(licenses.full_texts()[::-1])
     assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= {*texts}
