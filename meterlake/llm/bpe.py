@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.words import slices
+from meterlake.llm.words import frugal, slices
 
 #: White space as the vocabulary's own pattern engine has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed: the splitting pattern that the vocabulary file states.
 _WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
-#: Words that a task remembers before it starts its memory anew.
-MEMORY = 400_000
+#: Bytes of words and ids that a task remembers before it starts its memory anew, and what a word
+#: takes besides its letters.
+MEMORY_BYTES, WORD_BYTES = 48_000_000, 150
 
 
 def _byte_letters() -> list[str]:
@@ -39,28 +40,54 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _told(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def _tokens(path: str, told: dict | None = None) -> np.ndarray:
+    """The token of each id; None where an id is not given out."""
+    told = told or _told(path)
+    known = told["model"]["vocab"] | {t["content"]: t["id"] for t in told["added_tokens"]}
+    tokens = np.full(max(known.values(), default=-1) + 1, None, object)
+    for token, i in known.items():
+        tokens[i] = token
+    return tokens
+
+
+def _joined(tokens: np.ndarray, ids) -> str:
+    ids = np.asarray(ids, np.int64)
+    if len(ids) and ids.min() < 0:
+        raise IndexError("an id outside the vocabulary")
+    return " ".join(tokens[ids])
+
+
 class Vocabulary:
     """A tokenizer file of the kind that ends words with a suffix."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
+        told = _told(path)
         model = told["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = _tokens(path, told)
         letters = _byte_letters()
         self.inner = np.array([ids[c] for c in letters], np.int64)
         self.final = np.array([ids[c + self.suffix] for c in letters], np.int64)
-        self.ranks, self.made = {}, []
+        self.ranks = {}
+        self.made = np.zeros((len(model["merges"]), 3), np.int32)
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[ids[a] << 20 | ids[b]] = rank
-            self.made.append((ids[a], ids[b], ids[a + b]))
+            self.made[rank] = ids[a], ids[b], ids[a + b]
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(_WORD).findall
 
+    def text(self, ids) -> str:
+        """The tokens of ``ids`` joined by one space."""
+        return _joined(self.tokens, ids)
+
     def pieces(self, text: str) -> list[str]:
         """The words of ``text`` in order; special tokens stand as themselves behind a NUL mark."""
         if self.split_special and "<|" in text:
@@ -109,7 +136,7 @@ class Vocabulary:
             add(inside)
         while active:
             rank = heapq.heappop(active)
-            a, b, new = self.made[rank]
+            a, b, new = self.made[rank].tolist()
             places = np.unique(np.concatenate(index.pop(rank)))
             places = places[(symbol[places] == a) & (symbol[following[places]] == b)]
             if a == b and len(places) > 1:
@@ -141,7 +168,7 @@ def _disjoint(places: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts, remembering the words met."""
+    """Encodes texts, remembering the words met; what it remembers is bounded in bytes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -149,26 +176,33 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held, self.used = 0, 0  # bytes of the words remembered, ids in use
+        self.flat, self.start, self.count = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+
+    def _remember(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.slot)
+        self.flat, self.start, self.count = _room(self.flat, self.used + len(ids)), _room(self.start, n + len(words)), _room(self.count, n + len(words))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + len(words)] = counts
+        self.used += len(ids)
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words) + 4 * len(ids)
+        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the bounds of each text among them."""
-        if len(self.slot) > MEMORY:
+        if self.held > MEMORY_BYTES:
             self._forget()
         split = [self.v.pieces(t) for t in texts]
         fresh = list({w for words in split for w in words if w not in self.slot})
-        if fresh:
-            plain = [w for w in fresh if w[0] != "\0" or w[1:] not in self.v.special]
-            marked = [w for w in fresh if w[0] == "\0" and w[1:] in self.v.special]
-            ids, counts = self.v.encode_words([w.encode() for w in plain]) if plain else (np.zeros(0, np.int64),) * 2
-            ids = np.append(ids, np.array([self.v.special[w[1:]] for w in marked], np.int64)).astype(np.int64)
-            counts = np.append(counts, np.ones(len(marked), np.int64)).astype(np.int64)
-            for word in plain + marked:
-                self.slot[word] = len(self.slot)
-            self.start = np.append(self.start, len(self.flat) + np.cumsum(counts) - counts)
-            self.count, self.flat = np.append(self.count, counts), np.append(self.flat, ids)
+        special = {w for w in fresh if w[0] == "\0" and w[1:] in self.v.special}
+        if special:
+            self._remember([*special], np.array([self.v.special[w[1:]] for w in special]), np.ones(len(special), np.int64))
+        plain = [w for w in fresh if w not in special]
+        if plain:
+            self._remember(plain, *self.v.encode_words([w.encode() for w in plain]))
         slots = np.fromiter((s for words in split for s in map(self.slot.__getitem__, words)), np.int64)
-        sizes = self.count[slots]
+        sizes = self.count[slots].astype(np.int64)
         ends = np.cumsum(sizes)
         where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[slots] - (ends - sizes), sizes)
         per_text = np.cumsum([0, *map(len, split)])
@@ -176,11 +210,18 @@ class Encoder:
         return self.flat[where], bounds
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, ids`` (array of int). A null text is empty and has no
-    ids; other columns are ignored. The path must be readable on every executor (a shared or
-    installed file, or one sent with the job)."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """``array`` with room for ``n`` values; it grows by doubling."""
+    return array if n <= len(array) else np.append(array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype))
+
+
+_ENCODED = [T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+_ARROW = [pa.field("doc_id", pa.int64()), pa.field("ids", pa.list_(pa.int32()))]
+
+
+def _encoded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    fields = [*_ENCODED, *([T.StructField("decoded", T.StringType())] if decoded else [])]
+    arrow = pa.schema([*_ARROW, *([pa.field("decoded", pa.string())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -188,11 +229,26 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
             encoder = encoder or Encoder(Vocabulary(vocabulary_path))
             for part, texts in slices(batch, "text"):
                 ids, bounds = encoder.encode([t.decode() for t in texts])
-                column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column], schema=arrow)
+                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([encoder.v.text(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(frugal(run), T.StructType(fields))
+
+
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, ids`` (array of int). A null text is empty and has no
+    ids; other columns are ignored. The path must be readable on every executor (a shared or
+    installed file, or one sent with the job)."""
+    return _encoded(docs, vocabulary_path, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode` with a column ``decoded``, as :func:`decode` has it: the ids are decoded where
+    they are made, so that a task needs one vocabulary."""
+    return _encoded(docs, vocabulary_path, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> DataFrame:
@@ -204,17 +260,16 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> Da
     schema = T.StructType([*source.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = None
+        tokens = None
         for batch in batches:
-            token = token or Vocabulary(vocabulary_path).tokens.__getitem__
+            tokens = _tokens(vocabulary_path) if tokens is None else tokens
             column = batch.column(names.index(ids_col))
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                rows = column.slice(lo, 500).to_pylist()
-                text = pa.array([" ".join(map(token, ids or ())) for ids in rows], pa.string())
+                text = pa.array([_joined(tokens, ids or ()) for ids in column.slice(lo, 500).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*names, "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def digests(encoded: DataFrame, *also: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from meterlake.llm.components import components
 from meterlake.llm.staging import staged
-from meterlake.llm.words import Hashes, mix, shingles, slices, words
+from meterlake.llm.words import Hashes, frugal, mix, shingles, slices, words
 
 BANDS, ROWS = 32, 4
 #: Sets of a class or bucket that one task compares with as many others at once.
@@ -101,7 +101,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
                     bands.append(signature(found).view(np.int64) if len(found) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.mapInArrow(run, _SETS)
+    return docs.mapInArrow(frugal(run), _SETS)
 
 
 def _pruned(pairs: DataFrame, sets: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(frugal(run), "a binary, b binary")
 
 
 def _blocked(rows: DataFrame, key: str, size: str) -> DataFrame:

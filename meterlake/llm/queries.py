@@ -54,8 +54,7 @@ def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.llm.staging import staged
-from meterlake.llm.words import slices
+from meterlake.llm.words import frugal, slices
 
 #: Labelled rows that a model is fitted to at most; the rows are those of least hash of doc_id.
 MAX_TRAINING_ROWS = 20_000
@@ -346,7 +346,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], schema=arrow)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return rows.mapInArrow(frugal(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -360,4 +360,4 @@ def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
             for part, texts in slices(batch, text_col):
                 yield part.filter(pa.array([rate(t.decode()) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -6,7 +6,9 @@ a code point beyond ASCII is itself beyond ASCII.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,23 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         yield batch.slice(lo), [x or b"" for x in texts.slice(lo).to_pylist()]
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` giving its memory back to the system when a task ends: Spark keeps the worker for tasks
+    of later stages, which need the room."""
+
+    def ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return ending
+
+
 class Hashes(dict):
     """64-bit hashes of words, filled as they are met; emptied when it holds ``limit`` words."""
 

@@ -349,7 +349,25 @@ def test_bpe_is_the_library(docs, rows, no_docs):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i, ids, library.decode(ids, skip_special_tokens=False)))
     assert as_bag((r.doc_id, list(r.ids), r.decoded) for r in got) == as_bag(want)
-    assert bpe.decode(bpe.encode(no_docs, path), path).count() == 0
+    assert as_bag((r.doc_id, list(r.ids), r.decoded) for r in bpe.round_trip(docs, path).collect()) == as_bag(want)
+    assert bpe.decode(bpe.encode(no_docs, path), path).count() == 0 and bpe.round_trip(no_docs, path).count() == 0
+
+
+def test_bpe_memory_starts_anew(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path(), random.Random(5)
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 20_000)
+    encoder, most = bpe.Encoder(bpe.Vocabulary(path)), 0
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice("abcdefgé<|>") for _ in range(rng.randint(1, 9))) for _ in range(60)) + "<|endoftext|>" for _ in range(3)]
+        ids, bounds = encoder.encode(texts)
+        most = max(most, encoder.held)
+        for i, t in enumerate(texts):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == want and encoder.v.text(want) == library.decode(want, skip_special_tokens=False)
+    assert most < 100_000
 
 
 def test_bpe_special_and_odd_texts():
