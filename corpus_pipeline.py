@@ -38,9 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, their number, and digests of the ids and of the decoded text."""
-    path = tokenizer_path()
-    encoded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digests(encoded, "ids")
+    return bpe.digests(bpe.round_trip(docs, tokenizer_path()), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
