@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import dom
 from meterlake.llm.staging import staged
+from meterlake.llm.words import frugal
 
 #: Pages that the model is fitted on at most: those of least hash of url and page_id.
 MAX_TRAINING_PAGES = 240
@@ -43,7 +44,7 @@ AGAINST = {
     "talk": "comment comments reply replies discussion disqus respond feedback reviews".split(),
     "share": "share social sharing follow meta tags byline author".split(),
 }
-_GROUPS = {t: i for i, ts in enumerate(("article main", "nav menu", "header hgroup", "footer address", "aside dialog details", "form fieldset label legend search", "p blockquote pre", "h1 h2 h3 h4 h5 h6",
+_GROUPS = {t: i for i, ts in enumerate(("article main", "nav menu", "header hgroup", "footer address", "aside dialog details", "form fieldset label legend search select optgroup option", "p blockquote pre", "h1 h2 h3 h4 h5 h6",
                                          "li ul ol dl dt dd dir", "table tbody thead tfoot tr td th caption", "figure figcaption")) for t in ts.split()}
 _N_GROUPS, _N_TOKENS = 12, 1 + len(AGAINST)
 _WORD = re.compile(r"[a-z]+")
@@ -294,8 +295,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
 
 def main_text(pages: DataFrame, trees: Trees | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars``. A null page is empty; a page
-    without text, or any page if there was nothing to learn from, gives an empty text; very long
-    pages are read whole; repeated rows give repeated rows; other columns are ignored."""
+    without text gives an empty text; without trees (there was nothing to learn from) all text of a
+    page counts as main text; very long pages are read whole; repeated rows give repeated rows;
+    other columns are ignored."""
     shared = pages.sparkSession.sparkContext.broadcast(trees)
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -307,11 +309,9 @@ def main_text(pages: DataFrame, trees: Trees | None, id_col: str = "page_id", ur
                 read = [dom.read(h or "") for h in part.column("html").to_pylist()]
                 forest = Forest(read)
                 model = shared.value
-                if model is None:
-                    texts = [""] * len(read)
-                else:
-                    texts = forest.texts(forest.decode(model.log_odds(forest.features(known))))
+                kept = np.ones(len(forest.parent), bool) if model is None else forest.decode(model.log_odds(forest.features(known)))
+                texts = forest.texts(kept)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=arrow)
 
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")
