@@ -105,6 +105,8 @@ def _canonical_sql(line: str) -> str:
 
 _LINES_SQL = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_canonical_sql('l')}), lambda x: x <> '')"
 
+_BLANK, _W = sentence_dedup.SPACE, sentence_dedup.WINDOW
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -139,14 +141,24 @@ ORACLES: dict[str, str] = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
     "op6_sentence_dedup": f"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{sentence_dedup.SENTENCE}') AS s FROM documents),
-        b AS (SELECT doc_id, s, list_transform(s, lambda x: regexp_replace(x, '\\s+$', '')) AS u FROM d),
-        r AS (SELECT doc_id, i, u[i:i + 2] AS run FROM b, unnest(range(1, len(u) - 1)) AS t(i)),
-        later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r) WHERE k > 1),
-        gone AS (SELECT doc_id, list(DISTINCT j) AS g FROM later, unnest([i, i + 1, i + 2]) AS t(j) GROUP BY doc_id)
-        SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(len(g), 0)::BIGINT AS n_removed,
-               sha256(array_to_string(CASE WHEN g IS NULL THEN s ELSE list_filter(s, lambda x, i: NOT list_contains(g, i)) END, '')) AS kept_sha256
-        FROM b LEFT JOIN gone USING (doc_id)
+        WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+        raw AS (SELECT doc_id, text, regexp_extract_all(text, {_quoted(sentence_dedup.SENTENCE)}) AS raw FROM d),
+        sentence AS (SELECT doc_id, text, i, raw[i] AS x, regexp_extract_all(raw[i], '[^{_BLANK}]+[{_BLANK}]*') AS p FROM raw, unnest(range(1, len(raw) + 1)) AS t(i)),
+        hashed AS (SELECT *, list_transform(p, lambda w: substr(md5(regexp_replace(w, '[{_BLANK}]+$', '')), 1, 16)) AS h FROM sentence WHERE len(p) > {sentence_dedup.LONG}),
+        ended AS (SELECT doc_id, text, i, p, list_sort(list_distinct(list_append(list_transform(range(1, len(p) - {_W - 2}), lambda j:
+                      j + {_W} - list_position(list_reverse(h[j:j + {_W - 1}]), list_min(h[j:j + {_W - 1}]))), len(p)))) AS e FROM hashed),
+        piece AS (SELECT doc_id, text, i, list_transform(e, lambda z, j: array_to_string(p[coalesce(CASE WHEN j > 1 THEN e[j - 1] END, 0) + 1:z], '')) AS s FROM ended
+                  UNION ALL SELECT doc_id, text, i, [x] FROM sentence WHERE len(p) <= {sentence_dedup.LONG}),
+        cut AS (SELECT doc_id, text, flatten(list(s ORDER BY i)) AS s FROM piece GROUP BY ALL),
+        b AS (SELECT doc_id, text, s, list_transform(s, lambda x: regexp_replace(x, '[{_BLANK}]+$', '')) AS u FROM cut),
+        r AS (SELECT doc_id, text, i, u[i:i + 2] AS run FROM b, unnest(range(1, len(u) - 1)) AS t(i)),
+        later AS (SELECT doc_id, text, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r) WHERE k > 1),
+        gone AS (SELECT doc_id, text, list(DISTINCT j) AS g FROM later, unnest([i, i + 1, i + 2]) AS t(j) GROUP BY ALL)
+        SELECT o.doc_id, coalesce(len(s), 0)::BIGINT AS n_sentences, coalesce(len(g), 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN g IS NULL THEN coalesce(o.text, '') ELSE
+                   regexp_extract(o.text, '^[{_BLANK}]*') || array_to_string(list_filter(s, lambda x, i: NOT list_contains(g, i)), '') END) AS kept_sha256
+        FROM documents o LEFT JOIN b ON o.doc_id IS NOT DISTINCT FROM b.doc_id AND coalesce(o.text, '') = b.text
+        LEFT JOIN gone ON b.doc_id IS NOT DISTINCT FROM gone.doc_id AND b.text = gone.text
     """,
     "op8_licenses": f"""
         WITH known_texts(license, text) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}),

@@ -1,46 +1,165 @@
 """Substring deduplication over sliding sentence spans.
 
-Every run of several consecutive sentences is hashed, equal hashes are joined over the whole corpus,
-and the sentences covered by a run that is not the first of its kind are removed. Counting merges in
-the map tasks, and the join back to the runs is one that Spark splits where a run is very common.
+Every run of several consecutive sentences is hashed, equal hashes meet over the whole corpus in one
+shuffle, and the sentences covered by a run that is not the first of its kind are removed. Runs that are
+very common (a sample of the documents tells which) are dealt over several groups by their place, and
+only the first place of each of these groups is looked at again.
+
+A long stretch without sentence ends is cut by its content: of every ``WINDOW`` consecutive words the
+one of least digest, the rightmost of equal ones, ends a piece. Where a stretch is cut therefore does
+not depend on what stands before it, and of 50 words at least 32 are cut alike wherever they stand,
+which makes three whole pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A sentence ends at ``.``, ``!`` or ``?`` before white space, at a line's end, or after twelve words,
-#: so that a long passage always holds several sentences. It carries the white space behind it.
-SENTENCE = r"(?:\S*[^\s.!?][^\S\n]+){0,11}\S+\s*"
+from meterlake.llm.staging import staged
+from meterlake.llm.words import frugal, shingles, slices
+
+#: Sentences of more words are cut into pieces; words of a window, each of which ends a piece.
+LONG, WINDOW = 12, 8
+#: White space, what closes a quotation behind a stop, and stops that need no white space behind them.
+SPACE, CLOSERS, WIDE_STOPS = r"\t-\r ", r"\"'”’»」』）)\]", "。！？"
+#: Where a sentence ends; it carries the white space behind it.
+_END = re.compile(rf"[.!?][{CLOSERS}]*(?:[{SPACE}]+|\Z)|[{WIDE_STOPS}]+[{CLOSERS}]*[{SPACE}]*|[\t\v\f\r ]*\n[{SPACE}]*")
+#: The same as one pattern of a sentence that needs no look ahead, for engines without it.
+_WORD = rf"(?:[^{SPACE}{WIDE_STOPS}]*[^{SPACE}{WIDE_STOPS}.!?{CLOSERS}][{CLOSERS}]*|[{CLOSERS}]+)"
+SENTENCE = rf"(?:{_WORD}[\t\v\f\r ]+)*(?:[^{SPACE}{WIDE_STOPS}]*[{WIDE_STOPS}]+[{CLOSERS}]*|[^{SPACE}{WIDE_STOPS}]+)[{SPACE}]*"
+_PARTS = re.compile(rf"[^{SPACE}]+[{SPACE}]*")
+_BLANKS = "\t\n\v\f\r "
+#: One in so many documents is looked at for common runs. A run with more than one in HOT_KEYS of the
+#: sample's places is common, so there are at most so many of them; rarer ones than LEAST are not.
+SAMPLE, HOT_KEYS, LEAST = 32, 2000, 16
+
+
+class Digests(dict):
+    """The first 64 bits of the MD5 of words, white space behind them left out; filled as they are
+    met, emptied at ``limit`` words."""
+
+    def __init__(self, limit: int = 200_000) -> None:
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        plain = word.rstrip(_BLANKS).encode()
+        self[word] = d = int.from_bytes(hashlib.md5(plain, usedforsecurity=False).digest()[:8], "big")
+        return d
+
+
+def _pieces(sentence: str, digests: Digests) -> list[str]:
+    """A sentence, cut by its content if it is long."""
+    parts = _PARTS.findall(sentence) if len(sentence) > 2 * LONG else ()
+    if len(parts) <= LONG:
+        return [sentence]
+    ends, least, at = [], -1, -1
+    values = list(map(digests.__getitem__, parts))
+    for i, value in enumerate(values):
+        if at < 0 or value <= least:
+            least, at = value, i
+        elif i - at >= WINDOW:
+            least = min(values[i - WINDOW + 1 : i + 1])
+            at = max(j for j in range(i - WINDOW + 1, i + 1) if values[j] == least)
+        if i >= WINDOW - 1 and (not ends or ends[-1] != at + 1):
+            ends.append(at + 1)
+    if ends[-1] != len(parts):
+        ends.append(len(parts))
+    return ["".join(parts[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def sentences(text: str, digests: Digests) -> tuple[str, list[str]]:
+    """The white space that a text begins with, and its sentences and pieces of long ones."""
+    at = len(text) - len(text.lstrip(_BLANKS))
+    lead, out = text[:at], []
+    for end in _END.finditer(text, at):
+        if end.end() > at:
+            out += _pieces(text[at : end.end()], digests)
+            at = end.end()
+    return lead, out + (_pieces(text[at:], digests) if at < len(text) else [])
+
+
+def _runs(rows: DataFrame, span: int) -> DataFrame:
+    """``key, row, at, a, b`` of every run of ``span`` sentences: whose it is, where it begins, and its hash."""
+    names = ["key", "row", "at", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = Digests()
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                places, a, b = [], [], []
+                for text in texts:
+                    bare = [xxhash.xxh3_128_digest(s.rstrip(_BLANKS).encode()) for s in sentences(text.decode(), digests)[1]]
+                    if len(bare) < span:
+                        places.append(0)
+                        continue
+                    halves = np.frombuffer(b"".join(bare), np.uint64).reshape(-1, 2)
+                    a.append(shingles(halves[:, 0], span))
+                    b.append(shingles(halves[:, 1], span))
+                    places.append(len(a[-1]))
+                if a:
+                    whose = np.repeat(np.arange(len(places)), places)
+                    columns = [part.column("key").take(pa.array(whose)), part.column("row").take(pa.array(whose)), pa.array(np.concatenate([np.arange(n) for n in places]), pa.int32()),
+                               pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.select("key", "row", "text").mapInArrow(frugal(run), "key long, row long, at int, a long, b long")
+
+
+def _common(rows: DataFrame, span: int) -> DataFrame:
+    """``a, b, groups``: runs that are common in a sample of the documents, HOT_KEYS of them at most, and
+    into how many groups each is dealt. The sample decides how work is dealt, never what is found."""
+    some = _runs(rows.filter(F.pmod(F.xxhash64("key", "row"), F.lit(SAMPLE)) == 0), span)
+    often = staged(some.groupBy("a", "b").agg(F.count("*").alias("n")), "sampled-runs")
+    bar = max(LEAST, (often.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    return often.filter(F.col("n") > bar).select("a", "b", F.ceil(F.col("n") / bar).alias("groups"))
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_sentences, n_removed, kept`` (the text that is left).
 
-    The first run is that of the least identifier (nulls last), then of the earlier place;
-    repeats within one text count too. A text of fewer than ``span`` sentences has no runs and stays
-    whole. A null text is empty; white space before the first sentence is dropped; rows that are equal
-    in identifier and text are one text, and get one answer; other columns are ignored.
+    A sentence ends at ``.``, ``!`` or ``?``, quotes and brackets behind it included, before white space, at
+    a wide stop, or at a line's end; of more than ``LONG`` words it counts as several, see above. The
+    first run is that of the least identifier (nulls last), then of the earlier place; repeats
+    within one text count too. A text of fewer than ``span`` sentences has no runs and stays whole. A
+    null text is empty; white space before the first sentence stays; text without white space is one
+    word; rows that are equal in identifier and text are one text, and get one answer; other columns
+    are ignored.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     # A row is known by identifier and text: a number given to it would not survive another reading.
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"),
-                       F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1).alias("sentences"))
-    bare = F.transform("sentences", lambda s: F.regexp_replace(s, r"\s+$", ""))
-    hashed = rows.select("doc_id", "row", F.transform(bare, lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(span), s).alias("b"))).alias("h"))
-    part = lambda i, name: [F.get("h", i + j)[name] for j in range(span)]
-    runs = hashed.filter(F.size("h") >= span).select(
-        "doc_id", "row",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.size("h") - span), lambda i: F.struct(F.xxhash64(*part(i, "a")).alias("a"), F.xxhash64(*part(i, "b")).alias("b")))).alias("at", "run"),
-    ).select("doc_id", "row", "at", "run.a", "run.b")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))
-    gone = runs.join(first, ["a", "b"]).filter(other).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "row").agg(F.collect_set("at").alias("starts"))
-    covered = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda i: F.sequence(i, i + span - 1))))
-    out = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, ["key", "row"], "left").withColumn("covered", covered)
-    kept = F.filter("sentences", lambda s, i: ~F.array_contains("covered", i))
-    kept = F.when(F.size("covered") == 0, F.col("sentences")).otherwise(kept)
-    return out.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.size("covered").cast("long").alias("n_removed"),
-                      F.array_join(kept, "").alias("kept"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("text"))
+    place, run = ["key", "row", "at"], Window.partitionBy("a", "b")
+    runs = _runs(rows, span).join(F.broadcast(_common(rows, span)), ["a", "b"], "left")
+    dealt = runs.withColumn("group", F.when(F.col("groups") > 1, F.pmod(F.xxhash64(*place), F.col("groups"))).otherwise(0))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "group").orderBy(*place)))
+    # Not the first of its group, or the first of one of several groups of a common run.
+    open_ = staged(ranked.filter("rank > 1 OR groups > 1").select(*place, "a", "b", "rank"), "repeated-runs")
+    tops = open_.filter("rank = 1").withColumn("top", F.row_number().over(run.orderBy(*place))).filter("top > 1")
+    gone = open_.filter("rank > 1").select(*place).unionByName(tops.select(*place)).groupBy("key", "row").agg(F.collect_set("at").alias("starts"))
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = Digests()
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                out = []
+                for text, starts in zip(texts, part.column("starts").to_pylist(), strict=True):
+                    lead, all_ = sentences(text.decode(), digests)
+                    covered = {i + j for i in starts or () for j in range(span)}
+                    out.append((len(all_), len(covered), lead + "".join(s for i, s in enumerate(all_) if i not in covered)))
+                columns = [part.column("doc_id"), *(pa.array([o[i] for o in out], arrow.field(i + 1).type) for i in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    joined = rows.join(gone, ["key", "row"], "left").select("doc_id", "text", "starts")
+    return joined.mapInArrow(frugal(cut), "doc_id long, n_sentences long, n_removed long, kept string")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import bpe, components, decontaminate, exact_dedup, html_extract, jaccard_join, licenses, sentence_dedup, suffix_array, suffix_dedup, toxicity, warc
 from meterlake.llm.queries import tokenizer_path
+from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -335,6 +336,54 @@ def test_sentence_dedup(spark, docs, rows, no_docs):
     assert sentence_dedup.repeated_sentences(docs).count() == len(rows) and sentence_dedup.repeated_sentences(no_docs).count() == 0
 
 
+def test_sentences_are_those_of_the_pattern(rows):
+    rng, digests = random.Random(12), sentence_dedup.Digests()
+    odd = ["", " \n", "  a b", "a.b c. d", 'He said "no." Then "yes!" (Really?) Fine', "一。二」三！四", "a\n\nb \n c", "...", "a ...) b", ")))", "x" * 5000 + ")" * 5000, "wait... what?! no. \t", "a。」 b", "a\x0bb\x0cc\x85d\xa0e. f"]
+    texts = [t or "" for _, t in rows] + odd + ["".join(rng.choice("ab .!?)\"\n。」") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    for text in texts:
+        lead, pieces = sentence_dedup.sentences(text, digests)
+        assert lead + "".join(pieces) == text and all(p.strip(sentence_dedup._BLANKS) for p in pieces)
+        whole = [p for s in re.findall(sentence_dedup.SENTENCE, text) for p in sentence_dedup._pieces(s, digests)]
+        assert pieces == whole, text[:80]
+
+
+def test_long_sentences_are_cut_by_content():
+    digests = sentence_dedup.Digests()
+    for text in (words(31, 300), "spam " * 100, words(32, 13)):
+        w, values = text.split(), [digests[x] for x in text.split()]
+        ends = {max(j for j in range(i, i + 8) if values[j] == min(values[i : i + 8])) + 1 for i in range(len(w) - 7)} | {len(w)}
+        pieces = sentence_dedup._pieces(text, digests)
+        assert [len(p.split()) for p in pieces] == np.diff([0, *sorted(ends)]).tolist()
+
+
+@pytest.mark.parametrize("length", [50, 120])
+def test_passages_are_found_at_every_offset(spark, length):
+    passage = words(40, length)
+    table = spark.createDataFrame([(i, f"Start here. {words(50 + i, i)} {passage} {words(90 + i, 20)}") for i in range(16)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sentence_dedup.repeated_sentences(table).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed >= 3 for i in range(1, 16))
+    assert all(len(got[i].kept.split()) <= 2 + i + length + 20 - (length - 34) for i in range(1, 16))
+
+
+@pytest.mark.parametrize("sample,least", [(32, 16), (1, 1)])
+def test_sentence_dedup_is_the_sql(spark, docs, sample, least, monkeypatch, tmp_path):
+    """Repeated rows, null ids and all: equal to the SQL, with common runs dealt and without."""
+    import duckdb
+
+    from meterlake.llm import queries
+
+    monkeypatch.setattr(sentence_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(sentence_dedup, "LEAST", least)
+    extra = [(30, "  lead. Two of them. Three of them. Four."), (31, "\n lead. Two of them. Three of them. Four."), (31, "\n lead. Two of them. Three of them. Four."), (32, " \n ")]
+    table = docs.select("doc_id", "text").filter("doc_id IS NULL OR doc_id <> 12").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_sentence_dedup(spark, str(tmp_path)).collect()
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = base.execute(queries.ORACLES["op6_sentence_dedup"]).fetchall()
+    assert as_bag(tuple(r) for r in got) == as_bag(want)
+
+
 # -- 7 -------------------------------------------------------------------------------------------
 
 
