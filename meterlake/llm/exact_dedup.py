@@ -1,13 +1,16 @@
 """Exact deduplication by content sort.
 
 Sampled splitters range-partition the rows by their normalised bytes, Spark's external sort puts
-equal texts side by side, and neighbouring rows are compared in full. Splitters end in the digest
-and the identifier, so a text that a third of all rows share is cut over many tasks; runs that
-touch a partition's edge are stitched by comparing the edge texts, two for each partition.
+equal texts side by side, and neighbouring rows are compared in full. A splitter is the shortest
+beginning of a sampled text that sets it apart from the sampled text before it, and ends in the
+identifier where two sampled texts are equal, so a text that a third of all rows share is cut over
+many ranges, as is a beginning that they share. Runs that touch a range's edge are stitched by
+comparing the edge texts, two for each range.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,47 +19,74 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.staging import staged
 
-#: Bytes of text in a splitter: keeps what range sampling sends to the driver small. Order within a
-#: partition and every comparison use the whole text.
-SPLITTER_CHARS = 48
+#: Ranges for each partition, and sampled rows for each range: the sample is of so many rows, whatever the input.
+RANGES, SAMPLED = 4, 8
+_LEAST_ID = -(2**63)
 
-_RUNS = "id long, sha string, run string, edge string"
+_RUNS = "id long, sha string, run string, edge string, again boolean"
+
+
+def _beginning(before: str, text: str) -> str:
+    """The shortest beginning of ``text`` that is larger than ``before``, which is smaller than it."""
+    lo, hi = 0, min(len(before), len(text))  # characters that both are sure to share, and at most share
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if before[lo:mid] == text[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return text[: lo + 1]
+
+
+def _splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
+    """Places in the order of (text, id) that cut a sample into ``ranges`` equal parts. The sample is sorted
+    in one task, and only beginnings of its texts are sent to the driver."""
+    sample = staged(rows.select("text", F.coalesce("id", F.lit(_LEAST_ID)).alias("id")).orderBy(F.xxhash64("text", "id")).limit(ranges * SAMPLED), "exact-sample")
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, n = None, 0
+        for frame in frames:
+            out = []
+            for text, ident in zip(frame["text"], frame["id"].tolist(), strict=True):
+                if n % SAMPLED == 0 and before is not None:
+                    out.append((text, ident) if before == text else (_beginning(before, text), _LEAST_ID))
+                before, n = text, n + 1
+            yield pd.DataFrame(out, columns=["text", "id"]).astype({"id": "int64"})
+
+    chosen = sample.repartition(1).sortWithinPartitions("text", "id").mapInPandas(pick, "text string, id long")
+    return sorted((r.text, r.id) for r in chosen.collect())
 
 
 def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Number the runs of equal neighbours; the rows of the first and last run carry an edge text
-    once. A run is left null where a row stands alone and away from the edges."""
-    number, last, held, length = 0, None, None, 0
-    part = None
-    first = True
+    """Name the runs of equal neighbours within each range; the first and the last row of a range carry
+    their text. A run is left null where a row stands alone and away from the edges. ``again`` marks
+    a row whose text and identifier are those of the row before."""
+    number, held, starts, joined, again = 0, None, True, False, False
 
-    def close(row, size, edge, text):
-        alone = size == 1 and not edge
-        return (*row, None if alone else f"{part}-{number}", text if edge else None)
+    def told(ends: bool, joins: bool) -> tuple:
+        bucket, ident, sha, text = held
+        edge = starts or ends
+        return ident, sha, f"{bucket}-{number}" if edge or joined or joins else None, text if edge else None, again
 
     for frame in parts:
         out = []
-        for ident, text, sha, p in zip(frame["id"], frame["text"], frame["sha"], frame["part"], strict=True):
-            part = p
+        for row in zip(frame["bucket"], frame["id"], frame["sha"], frame["text"], strict=True):
             if held is not None:
-                same = sha == held[1] and text == last
-                out.append(close(held, length if not same else 2, first, last if not same else None))
-                if same:
-                    length += 1
-                else:
-                    number, length, first = number + 1, 1, False
-            else:
-                length = 1
-            held, last = (ident, sha), text
+                turns = row[0] != held[0]
+                joins = not turns and row[3] == held[3]
+                out.append(told(turns, joins))
+                again = joins and (row[1] == held[1] or (pd.isna(row[1]) and pd.isna(held[1])))
+                number, starts, joined = 0 if turns else number + (not joins), turns, joins
+            held = row
         if out:
             yield _frame(out)
     if held is not None:
-        yield _frame([close(held, length, True, last)])
+        yield _frame([told(True, False)])
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["id", "sha", "run", "edge"], dtype=object)
-    return out.assign(id=pd.array(out["id"].where(out["id"].notna(), None), dtype="Int64"))
+    out = pd.DataFrame(rows, columns=["id", "sha", "run", "edge", "again"], dtype=object)
+    return out.assign(id=pd.array(out["id"].where(out["id"].notna(), None), dtype="Int64"), again=out["again"].astype(bool))
 
 
 def exact_groups(
@@ -78,27 +108,30 @@ def exact_groups(
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     text = normalise(text) if normalise else text
-    sha = F.sha2(text.cast("binary"), 256)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), sha.alias("sha"))
-    head = F.substring("text", 1, SPLITTER_CHARS)
-    ranged = rows.repartitionByRange(n, head, F.col("sha"), F.col("id")).sortWithinPartitions(head, "sha", "text", "id")
-    runs = staged(ranged.withColumn("part", F.spark_partition_id()).mapInPandas(_runs, _RUNS), "exact-runs")
-
-    # Edge runs with equal whole texts are one run: two rows at most for each partition.
-    edges = runs.filter(F.col("edge").isNotNull()).groupBy("edge").agg(F.collect_set("run").alias("runs"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"))
+    splitters = spark.sparkContext.broadcast(_splitters(rows, n * RANGES))
+
+    @F.pandas_udf("int")
+    def bucket(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        cuts = splitters.value
+        return pd.Series([bisect_right(cuts, row) for row in zip(texts, ids.tolist(), strict=True)], dtype="int32")
+
+    placed = rows.withColumn("bucket", bucket("text", F.coalesce("id", F.lit(_LEAST_ID)))).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    ranged = placed.repartition(n, "bucket").sortWithinPartitions("bucket", "text", "id")
+    runs = staged(ranged.mapInPandas(_runs, _RUNS), "exact-runs")
+
+    # Edge runs with equal whole texts are one run: two rows at most for each range.
+    edges = runs.filter(F.col("edge").isNotNull()).groupBy("edge").agg(F.collect_set("run").alias("runs")).filter(F.size("runs") > 1)
     label = edges.select(F.explode("runs").alias("run"), F.array_min("runs").alias("whole"))
     alone = runs.filter(F.col("run").isNull()).select(
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    rest = (
-        runs.filter(F.col("run").isNotNull()).select("id", "sha", "run", F.monotonically_increasing_id().alias("seq"))
-        .join(label, "run", "left").withColumn("run", F.coalesce("whole", "run"))
-    )
-    best = F.struct(F.col("id").isNull() if keep == "min" else F.col("id").isNotNull(), "id", "seq")
+    rest = runs.filter(F.col("run").isNotNull()).drop("edge").join(label, "run", "left").withColumn("run", F.coalesce("whole", "run"))
+    best = F.struct(F.col("id").isNull() if keep == "min" else F.col("id").isNotNull(), "id")
     groups = rest.groupBy("run").agg((F.min if keep == "min" else F.max)(best).alias("best"), F.count("*").alias("group_size"))
-    shared = rest.select("id", "sha", "run", "seq").join(groups, "run").select(
+    shared = rest.select("id", "sha", "run", "again").join(groups, "run").select(
         F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size",
-        (F.col("seq") == F.col("best.seq")).alias("kept"), F.col("sha").alias("text_sha256"))
+        (F.col("id").eqNullSafe(F.col("best.id")) & ~F.col("again")).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(shared)
 
 
