@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,11 +84,11 @@ def _signatures(column) -> np.ndarray:
     return np.asarray(flat, dtype=np.int64).view(np.uint16).reshape(-1, BANDS * ROWS)
 
 
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _features(docs: DataFrame, k: int) -> DataFrame:
-    arrow = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -99,7 +99,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
                     found = shingle_set(text, k, hashes)
                     sids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     bands.append(signature(found).view(np.int64) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=arrow)
 
     return docs.mapInArrow(frugal(run), _SETS)
 
@@ -244,10 +244,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and has no links. Rows with a null identifier take part, and have a null class only among
     themselves. Other columns are ignored; an empty table gives none.
     """
+    marked = _classes(docs, id_col, text_col, k, threshold, tolerance, count_links)
+    return marked.select("doc_id", "class_id", *(["n_links"] if count_links else []))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _key(ident: Column) -> Column:
+    """Identifiers to join on, null ones too; a text's mark stands beside it."""
+    return F.coalesce(ident.cast("long"), F.lit(-(2**63)))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, tolerance: float, count_links: bool) -> DataFrame:
+    """:func:`jaccard_classes` with ``mark``, a hash of each row's text."""
     limits = least_matches(threshold, tolerance)
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), _mark(docs[text_col]).alias("mark"), docs[text_col].cast("string").alias("text"))
     rows = staged(_features(source, k), "features")
-    sets = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("bands").alias("bands"), F.count("*").alias("docs"), F.min("doc_id").alias("doc_id"))
+    sets = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("bands").alias("bands"), F.count("*").alias("docs"),
+        F.min(F.struct(_key(F.col("doc_id")).alias("key"), "mark")).alias("one"))
     sets = staged(sets, "shingle-sets")
 
     banded = sets.select("sid", F.posexplode("bands").alias("band", "key"))
@@ -255,8 +271,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = staged(banded.join(hubs, ["band", "key"]), "buckets")
     stars = buckets.filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
-    wanted = buckets.select("sid").distinct().join(sets.select("sid", "doc_id"), "sid")
-    fetched = source.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("sid", "text")
+    # A set's text is that of one row, known by identifier and text, so rows without one do not meet all others.
+    wanted = buckets.select("sid").distinct().join(sets.select("sid", "one.key", "one.mark"), "sid")
+    fetched = source.withColumn("key", _key(F.col("doc_id"))).join(wanted, ["key", "mark"]).select("sid", "text")
     texts = staged(_of_set(fetched, k), "texts")
     first = staged(_verified(_pruned(stars, sets, limits), texts, k, threshold), "links")
     roots = components(first, "a", "b")
@@ -270,16 +287,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = staged(first.unionByName(second), "links")
     roots = staged(components(every, "a", "b"), "classes")
 
-    linked = rows.select("doc_id", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    linked = rows.select("doc_id", "mark", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = linked.join(least, "root", "left").withColumn("class_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     if not count_links:
-        return out.select("doc_id", "class_id")
+        return out.select("doc_id", "mark", "class_id")
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     members = roots.join(sizes, "root").withColumnRenamed("node", "sid").join(sets.select("sid", "bands", "docs"), "sid").join(texts, "sid")
     counts = _link_counts(members, k, threshold, limits).join(sets.select("sid", "docs"), "sid", "right")
     counts = counts.select("sid", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
-    return out.join(counts, "sid", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.join(counts, "sid", "left").select("doc_id", "mark", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _of_set(rows: DataFrame, k: int) -> DataFrame:
@@ -295,9 +312,10 @@ def _of_set(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).dropDuplicates(["sid"])
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each class the row with the least identifier.
-    Identifiers should be unique; rows that share the one that stays all stay."""
-    classes = jaccard_classes(docs, id_col, text_col, count_links=False, **options)
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each class the row with the least identifier. A row
+    is known by identifier and text; rows of one class that share the least identifier all stay, and
+    so do rows without one, if their whole class has none."""
+    classes = _classes(docs, id_col, text_col, k, threshold, tolerance, False)
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(_key(F.col("doc_id")).alias("_key"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (_key(docs[id_col]) == gone["_key"]) & (_mark(docs[text_col]) == gone["_mark"]), "left_anti")
