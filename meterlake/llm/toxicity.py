@@ -28,10 +28,8 @@ from meterlake.llm.words import frugal, slices
 
 #: Labelled rows that a model is fitted to at most; the rows are those of least hash of doc_id.
 MAX_TRAINING_ROWS = 20_000
-#: Words and word beginnings that a model holds at most, the strongest first.
-MAX_TERMS = 50_000
-#: Log odds from which a term counts as evidence, and the most evidence that a document has.
-LEAST_STRENGTH, MOST_EVIDENCE = 0.7, 20.0
+#: Log odds from which a term counts as evidence.
+LEAST_STRENGTH = 0.7
 #: Fixed: what a sign may stand for in disguised writing.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il",
          "|": "il", "(": "c", "+": "t", "€": "e", "£": "l"}
@@ -258,7 +256,7 @@ class ToxicityModel:
             for got in filter(None, map(known.__getitem__, set(tokens))):
                 found.update(got)
             found.update(strong(reader.spaced(text, tokens)))
-            return min(MOST_EVIDENCE, sum(found.values())), max(found.values(), default=0.0)
+            return math.log1p(sum(found.values())), max(found.values(), default=0.0)
 
         def score(text: str) -> float:
             both, most = evidence(text)
@@ -317,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     terms = train.mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log(F.col("s") / (1 - F.col("s"))) - math.log(n1 / n0)
-    strong = terms.withColumn("s", bound).filter((F.col("s") > n1 / (n0 + n1)) & (n > 2)).withColumn("s", odds).filter(F.col("s") > LEAST_STRENGTH).orderBy(F.desc("s"), "term").limit(MAX_TERMS)
+    strong = terms.withColumn("s", bound).filter((F.col("s") > n1 / (n0 + n1)) & (n > 2)).withColumn("s", odds).filter(F.col("s") > LEAST_STRENGTH)
     model = ToxicityModel(letters, {r.term: float(r.s) for r in strong.select("term", "s").collect()}, [0.0] * 3)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

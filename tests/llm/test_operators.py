@@ -178,6 +178,13 @@ def test_jaccard_chains(spark, small, monkeypatch):
     assert as_bag(tuple(r) for r in got.collect()) == as_bag(brute_classes(rows))
 
 
+def test_one_of_each_knows_rows_by_text(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base), (2, "another text that stands alone here"), (None, base), (None, "no identifier but words of its own"), (None, "no identifier and others again here")]
+    left = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_bag(tuple(r) for r in left.collect()) == as_bag([rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_jaccard_of_nothing(no_docs):
     assert jaccard_join.jaccard_classes(no_docs).count() == 0
 
@@ -309,6 +316,28 @@ def test_exact_runs_over_partitions(spark):
     assert sum(r.kept for r in got) == 201
 
 
+def test_exact_splitters_follow_the_content(spark):
+    """Ranges in the order of (text, id), also where texts begin alike; repeated rows keep one."""
+    long = "the same opening " * 40
+    rows = [(i, long + f"{i % 50:03d}" + "x" * (i % 3)) for i in range(900)] + [(5, long + "005xx")] * 3 + [(None, long)] * 3 + [(i, "z") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = exact_dedup._splitters(table.withColumnRenamed("doc_id", "id"), 8)
+    assert cuts == sorted(cuts) and len(cuts) >= 6 and all(len(t) < len(long) + 6 for t, _ in cuts)
+    got = exact_dedup.exact_groups(table, partitions=4, keep="max").collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    want = [(i, max((x for x in groups[t] if x is not None), default=None), len(groups[t])) for i, t in rows]
+    assert as_bag((r.doc_id, r.keep_id, r.group_size) for r in got) == as_bag(want)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in groups)
+
+
+def test_exact_beginnings():
+    for a, b in (("", "a"), ("a", "ab"), ("abc", "abd"), ("abc", "b"), ("x" * 999, "x" * 1000)):
+        p = exact_dedup._beginning(a, b)
+        assert a < p <= b and b.startswith(p) and not (len(p) > 1 and p[:-1] > a)
+
+
 def test_drop_exact_copies(docs, rows, no_docs):
     left = exact_dedup.drop_exact_copies(docs, keep="max")
     assert left.columns == docs.columns
@@ -502,6 +531,31 @@ def test_warc(spark, docs, rows, no_docs, tmp_path):
     assert warc.round_trip(no_docs.withColumnRenamed("doc_id", "page_id").withColumn("url", F.lit(None))).count() == 0
 
 
+@pytest.mark.parametrize("harm", ["payload", "address", "gone"])
+def test_warc_damage_is_found(spark, tmp_path, harm):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abcd")], "page_id long, url string, html string")
+    path = warc.write_archive(pages, str(tmp_path / "c"))
+    stored = spark.read.parquet(f"{path}/payloads").withColumn("bad", F.octet_length("payload") == 4)
+    stored = {
+        "payload": stored.withColumn("payload", F.when(F.col("bad"), F.lit(b"abXd")).otherwise(F.col("payload"))),
+        "address": stored.withColumn("address", F.when(F.col("bad"), F.sha2(F.lit("x"), 256)).otherwise(F.col("address"))),
+        "gone": stored.filter(~F.col("bad")),
+    }[harm].drop("bad")
+    other = str(tmp_path / "d")
+    stored.write.parquet(f"{other}/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{other}/headers")
+    for read in (warc.record_table, warc.reconstruct):
+        assert read(spark, path).count() == 2
+        with pytest.raises(Exception, match="missing|damaged"):
+            read(spark, other).collect()
+
+
+def test_warc_odd_urls(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u\r\nWARC-Type: revisit", "abc"), (2, "", "b"), (3, None, "c")], "page_id long, url string, html string")
+    got = warc.reconstruct(spark, warc.write_archive(pages, str(tmp_path / "e"))).orderBy("page_id").collect()
+    assert [(r.url, r.record_type) for r in got] == [("u%0D%0AWARC-Type: revisit", "response"), ("", "response"), (None, "response")]
+
+
 def test_warc_short_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     path = warc.write_archive(pages, str(tmp_path / "b"), min_revisit_bytes=5)
