@@ -102,14 +102,15 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     state = F.when(kind == "error", "stalled").when(kind == "signup", "unknown").when(kind == "click", "busy").when(kind == "view", "idle").otherwise("resuming")
     return e.select(F.col("user_id").alias("pane"), "observed_at", F.col("event_id").alias("seq"), state.alias("state"), F.when(kind == "error", F.concat(F.lit("e"), F.col("k") % 3)).alias("error_key"),
-                    F.expr("event_id div 5000").alias("pane_pid"), F.lit(None).cast("long").alias("reset_hint"), (F.col("k") * 1000).alias("retry_after_ms"),
+                    F.expr("event_id div 5000").alias("pane_pid"), F.when(F.col("k") % 5 == 0, F.col("observed_at") + 3_600_000).alias("reset_hint"), F.expr("observed_at div 86400000").alias("pass_no"), (F.col("k") * 1000).alias("retry_after_ms"),
                     F.lit("h").alias("harness"), F.concat(F.lit("s:"), F.col("user_id"), F.lit(":"), F.col("k") % 5).alias("session_key"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("note"))
 
 
 STATES = f"""{EVENTS}, st AS (
     SELECT user_id AS pane, observed_at, event_id AS seq,
            CASE event_type WHEN 'error' THEN 'stalled' WHEN 'signup' THEN 'unknown' WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' ELSE 'resuming' END AS state,
-           CASE WHEN event_type = 'error' THEN 'e' || (k % 3) END AS error_key, event_id // 5000 AS pane_pid, k * 1000 AS retry_after_ms, 's:' || user_id || ':' || (k % 5) AS session_key
+           CASE WHEN event_type = 'error' THEN 'e' || (k % 3) END AS error_key, event_id // 5000 AS pane_pid, k * 1000 AS retry_after_ms,
+           CASE WHEN k % 5 = 0 THEN observed_at + 3600000 END AS reset_hint, observed_at // 86400000 AS pass_no, 's:' || user_id || ':' || (k % 5) AS session_key
     FROM events_)"""
 
 

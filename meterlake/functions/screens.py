@@ -34,15 +34,16 @@ def lines_of(text: Column) -> Column:
 
 
 def visible_text(styled: Column) -> Column:
-    """Text of a styled line without its dim or grey runs, which are placeholders: every run is what
-    follows an escape, and is dropped if its last word on dimness was dim."""
+    """What a reader would take for typed on a styled line: hints are shown dim or grey, and go. The line
+    is cut at its escapes, and each part carries on or changes the brightness; no code at all resets it."""
     # Cut at the escapes; each part keeps its own codes in front.
     parts = F.split(F.regexp_replace(styled, r"\x1b\[([0-9;]*)m", "\x1e$1\x1f"), "\x1e")
     start = F.struct(F.lit(False).alias("dim"), F.lit("").alias("out"))
 
     def step(state: Column, part: Column) -> Column:
         has = part.contains("\x1f")
-        codes = F.when(has, F.split(F.when(F.split_part(part, F.lit("\x1f"), F.lit(1)) == "", "0").otherwise(F.split_part(part, F.lit("\x1f"), F.lit(1))), ";")).otherwise(F.array().cast("array<string>"))
+        given = F.filter(F.split(F.split_part(part, F.lit("\x1f"), F.lit(1)), ";"), lambda c: c != "")
+        codes = F.when(has, F.when(F.size(given) == 0, F.array(F.lit("0"))).otherwise(given)).otherwise(F.array().cast("array<string>"))
         said = F.filter(codes, lambda c: c.isin("0", "22", "39", "2", "90"))
         dim = F.when(F.size(said) > 0, F.element_at(said, -1).isin("2", "90")).otherwise(state["dim"])
         text = F.when(has, F.split_part(part, F.lit("\x1f"), F.lit(2))).otherwise(part)

@@ -55,13 +55,35 @@ def assert_aliases(sightings: DataFrame, registry: DataFrame, roots: DataFrame,
     return out, joined.filter(clash).select(*alias, "asserted_by")
 
 
+def least_connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node, root`` of every node of an edge but the roots: the least node that it is connected with. In
+    each round every node hands its least neighbour to its larger ones, then to its smaller ones, until
+    all point at their root; rounds grow with the logarithm of the graph. Nulls and loops are ignored."""
+    live, before = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("x <> y").distinct(), None
+    while True:
+        live = cut(live, "links")
+        now = live.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+        if now == before:
+            return live.select(F.col("x").alias("node"), F.col("y").alias("root"))
+        before = now
+        both = live.unionByName(live.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        tops = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(tops, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
+        live = small.unionByName(tops.select("x", F.col("m").alias("y"))).distinct()
+
+
 def merges_of_links(links: DataFrame, roots: DataFrame, revoked: DataFrame) -> DataFrame:
-    """Merges (from_key, into_key) that co-reported aliases call for: the larger canonical key goes
-    into the smaller. Pairs that were merged and revoked are not merged anew."""
+    """Merges (from_key, into_key) that co-reported aliases call for, one for each account at most: all
+    canonical accounts that are connected go into the least of them. A link of two accounts whose merge
+    was revoked connects nothing, and no such merge is made anew."""
     known = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
     pairs = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
-    wanted = pairs.filter("x <> y").select(F.greatest("x", "y").alias("from_key"), F.least("x", "y").alias("into_key")).distinct()
-    return wanted.join(revoked.select("from_key", "into_key").distinct(), ["from_key", "into_key"], "left_anti")
+    refused = revoked.select("from_key", "into_key").distinct()
+    wanted = pairs.filter("x <> y").select(F.greatest("x", "y").alias("from_key"), F.least("x", "y").alias("into_key")).distinct().join(refused, ["from_key", "into_key"], "left_anti")
+    merged = least_connected(wanted, "from_key", "into_key").select(F.col("node").alias("from_key"), F.col("root").alias("into_key"))
+    return merged.join(refused, ["from_key", "into_key"], "left_anti")
 
 
 def merge_violations(merges: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -38,6 +38,25 @@ def link_rule() -> Column:
     return (F.col("role") == "metadata") != (F.col("field") != "")
 
 
+def several(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys that hold more than one known ``value``: of links, an observation that supports several events, or
+    a field that several sources give."""
+    return rows.groupBy(*keys).agg(F.countDistinct(value).alias("n")).filter("n > 1")
+
+
+def usage_rules() -> dict[str, Column]:
+    """Reasoning is part of the output."""
+    return {"reasoning above output": F.col("reasoning_output_tokens") > F.col("output_tokens")}
+
+
+def not_within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``measure, inner, outer`` of every measure of which a part (usage without auxiliary calls, say) is more
+    than the whole; both are rows of totals."""
+    sides = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"i.{c}").alias("inner"), F.col(f"o.{c}").alias("outer")) for c in MEASURES])
+    # One row on either side.
+    return inner.alias("i").crossJoin(outer.alias("o")).select(F.inline(sides)).filter("inner > outer")
+
+
 def capacity_rules() -> dict[str, Column]:
     return {"used_pct out of range": F.col("used_pct").isNotNull() & ~F.col("used_pct").between(0, 100), "window name": ~F.col("window").rlike(WINDOW_PATTERN)}
 

@@ -21,17 +21,20 @@ def login_switches(rows: DataFrame, lookup: DataFrame, series: list[str], order:
     return change_points(rows.join(lookup, key), series, order, "account")
 
 
-def stalls(samples: DataFrame, pane: list[str] | None = None) -> DataFrame:
+def stalls(samples: DataFrame, pane: list[str] | None = None, pass_no: str | None = None) -> DataFrame:
     """Stalls of each pane: ``pane, onset, last_seen, error_key, pane_pid, resets_at, samples``.
 
     Samples of an unknown or unread (null) state neither begin nor end a stall. A new error key or
-    process begins a new one; any other state ends it. The provider's own wait counts from the onset
-    unless the screen states a time.
+    process begins a new one; any other state ends it, and so does a pass (``pass_no``, counted without
+    gaps) that has no sample of the pane, unlike one whose reading failed. The provider's own wait
+    counts from the onset unless the screen states a time.
     """
     pane = pane or ["pane"]
     w = Window.partitionBy(*pane).orderBy("observed_at", "seq")
-    told = samples.filter("state IS NOT NULL AND state <> 'unknown'")
-    same = F.struct("state", "error_key", "pane_pid")
+    gone = F.coalesce(F.col(pass_no) - F.lag(pass_no).over(w) > 1, F.lit(False)) if pass_no else F.lit(False)
+    seen = samples.withColumn("_gone", gone.cast("int")).withColumn("_presence", F.sum("_gone").over(w))
+    told = seen.filter("state IS NOT NULL AND state <> 'unknown'")
+    same = F.struct("state", "error_key", "pane_pid", "_presence")
     told = told.withColumn("_before", F.lag(F.struct(same.alias("v"))).over(w))
     told = told.withColumn("_island", F.sum(F.when(F.col("_before").isNull() | ~same.eqNullSafe(F.col("_before.v")), 1).otherwise(0)).over(w))
     return told.filter("state = 'stalled'").groupBy(*pane, "_island").agg(
@@ -57,12 +60,42 @@ def live_pairings(sightings: DataFrame, weak_method: str = "open_session_file")
     return sighting_windows(sure.unionByName(weak.join(single, ["pane", "pass_no"])), ["session_key", "pane", "method"])
 
 
-def peak_concurrency(intervals: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
+def peak_concurrency(intervals: DataFrame, group: list[str], start: str, end: str, bucket: int = 3_600_000) -> DataFrame:
     """The most intervals of a group that hold at once, and when that was first so. Starts count before
-    ends at the same time, as both bounds belong to an interval."""
-    steps = intervals.select(*group, F.col(start).alias("at"), F.lit(1).alias("step")).unionByName(intervals.select(*group, F.col(end).alias("at"), F.lit(-1).alias("step")))
-    w = Window.partitionBy(*group).orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("n", F.sum("step").over(w)).groupBy(*group).agg(F.max("n").alias("peak"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("at"))
+    ends at the same time, as both bounds belong to an interval.
+
+    Starts and ends are summed for each time, then for each ``bucket`` of time; what holds when a bucket
+    begins is a running sum over buckets, so the times of one bucket are all that one task orders.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    steps = intervals.select(*group, F.col(start).alias("at"), one.alias("_in"), none.alias("_out")).unionByName(intervals.select(*group, F.col(end).alias("at"), none.alias("_in"), one.alias("_out")))
+    times = steps.groupBy(*group, "at").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out")).withColumn("_bucket", F.floor(F.col("at") / bucket))
+    net, before = F.col("_in") - F.col("_out"), Window.unboundedPreceding
+    held = times.groupBy(*group, "_bucket").agg(F.sum(net).alias("_net")).withColumn("_held", F.sum("_net").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(before, -1)))
+    inside = F.sum(net).over(Window.partitionBy(*group, "_bucket").orderBy("at").rowsBetween(before, -1))
+    joined = times.withColumn("_since", inside).alias("t").join(held.alias("h"), [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*group, "_bucket"]])
+    n = F.coalesce("h._held", none) + F.coalesce("t._since", none) + F.col("t._in")
+    return joined.select(*[F.col(f"t.{c}") for c in [*group, "at"]], n.alias("n")).groupBy(*group).agg(F.max("n").alias("peak"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("at"))
+
+
+def login_evidence(sightings: DataFrame, logins: DataFrame, series: str = "state_file", method: str = "state_file", source: str = "login") -> DataFrame:
+    """Live, inferred account evidence of live sessions from the login that their machine shows.
+
+    ``sightings`` (series, session_key, observed_at) are live sessions in each pass, ``logins`` (series,
+    observed_at, account) what the state file held. A sighting takes the newest login at or before its
+    time; without one, or where no account was logged in, it gives nothing. Evidence is valid from when
+    this login was first seen for the session, and stays so while it is unchanged.
+    """
+    marks = logins.select(series, "observed_at", F.struct("account").alias("_login"), F.lit(None).cast("string").alias("session_key")).unionByName(
+        sightings.filter("session_key IS NOT NULL").select(series, "observed_at", F.lit(None).cast("struct<account: string>").alias("_login"), "session_key"))
+    w = Window.partitionBy(series).orderBy("observed_at", F.col("session_key").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = marks.withColumn("value", F.last("_login", ignorenulls=True).over(w)["account"]).filter("session_key IS NOT NULL AND value IS NOT NULL")
+    own = Window.partitionBy("session_key").orderBy("observed_at", "value")
+    turned = told.withColumn("_before", F.lag("value").over(own)).withColumn("_run", F.sum(F.when(F.col("_before").isNull() | (F.col("_before") != F.col("value")), 1).otherwise(0)).over(own))
+    runs = turned.groupBy("session_key", "_run", "value").agg(F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_confirmed_at"))
+    return runs.select(
+        F.lit("session").alias("subject_kind"), F.col("session_key").alias("subject_id"), F.lit("account").alias("dimension"), "value", F.lit(method).alias("method"), F.lit(source).alias("source"),
+        F.lit("inferred").alias("confidence"), F.lit("live").alias("validity"), F.col("first_observed_at").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), "first_observed_at", "last_confirmed_at")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str | Column], value: list[str]) -> DataFrame:

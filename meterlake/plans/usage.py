@@ -57,21 +57,24 @@ def usage(events: DataFrame, by: str, since_ms: int | None = None, until_ms: int
 
 
 def _attributed(scope: DataFrame, by: str, effective: DataFrame, evidence: DataFrame, roots: DataFrame | None) -> DataFrame:
-    own = effective.filter("subject_kind = 'usage_event'")
-    session = effective.filter("subject_kind = 'session'")
-    state = attribution.effective(scope, own, session, evidence, by)
+    """Measures by state and value. Events meet the state of their session in one join; only those of
+    sessions that are ambiguous over their span are looked at request by request, and evidence of single
+    events is joined only where there is any."""
+    of = lambda rows, kind: rows.filter((F.col("subject_kind") == kind) & (F.col("dimension") == by))
+    session = of(effective, "session").select(F.col("subject_id").alias("session_key"), F.col("state").alias("_ss"), F.col("value").alias("_sv"))
+    told = scope.join(session, "session_key", "left").withColumn("state", F.coalesce("_ss", F.lit("unattributed"))).withColumn("value", F.col("_sv")).withColumn("_own", F.lit(False)).drop("_ss", "_sv")
+    has = of(evidence, "usage_event").select(F.col("subject_id").alias("_id")).distinct()
+    if not has.isEmpty():
+        mine = has.join(of(effective, "usage_event").select(F.col("subject_id").alias("_id"), F.col("state").alias("_os"), F.col("value").alias("_ov")), "_id", "left").withColumn("_has", F.lit(True))
+        told = told.withColumn("_id", F.col("event_key").cast("string")).join(mine, "_id", "left").withColumn("_own", F.col("_has").isNotNull())
+        told = told.withColumn("state", F.when(F.col("_own"), F.coalesce("_os", F.lit("unattributed"))).otherwise(F.col("state"))).withColumn("value", F.when(F.col("_own"), F.col("_ov")).otherwise(F.col("value"))).drop("_id", "_os", "_ov", "_has")
     if by == "account":
-        # Only sessions that are ambiguous over their span are looked at request by request.
-        open_ = session.filter((F.col("dimension") == by) & (F.col("state") == "ambiguous")).select(F.col("subject_id").alias("session_key"))
-        asked = scope.join(open_, "session_key", "left_semi")
-        of_session = evidence.filter((F.col("subject_kind") == "session") & (F.col("dimension") == by))
-        at_time = attribution.account_at(asked, of_session, roots=roots).select(F.col("event_key").cast("string").alias("event_key"), F.col("state").alias("_s"), F.col("value").alias("_v"))
-        has_own = evidence.filter((F.col("subject_kind") == "usage_event") & (F.col("dimension") == by)).select(F.col("subject_id").alias("event_key")).distinct()
-        at_time = at_time.join(has_own, "event_key", "left_anti")
-        state = state.join(at_time, "event_key", "left").withColumn("value", F.when(F.col("_s").isNotNull(), F.col("_v")).otherwise(F.col("value"))).withColumn("state", F.coalesce("_s", "state"))
-    state = state.withColumn("value", F.when(F.col("state") == "attributed", F.col("value")))
-    joined = scope.withColumn("event_key", F.col("event_key").cast("string")).join(state.select("event_key", "state", "value"), "event_key")
-    partial = joined.groupBy("state", "value").agg(*measures.usage_measures())
+        open_ = ~F.col("_own") & (F.col("state") == "ambiguous")
+        asked = told.filter(open_).drop("state", "value")
+        at_time = attribution.account_at(asked, of(evidence, "session"), roots=roots).select("event_key", "state", "value")
+        told = told.filter(~open_).unionByName(asked.join(at_time, "event_key"))
+    told = told.withColumn("value", F.when(F.col("state") == "attributed", F.col("value")))
+    partial = told.groupBy("state", "value").agg(*measures.usage_measures())
     if by == "account" and roots is not None:
         partial = partial.join(roots.select(F.col("node").alias("value"), "root"), "value", "left").withColumn("value", F.coalesce("root", "value")).drop("root")
     return partial.groupBy("state", F.col("value").alias("key")).agg(*measures.merged_measures())

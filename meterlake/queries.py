@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlake import bindings as b
 from meterlake.functions import scalars, screens
+from meterlake.lineage import cut
 from meterlake.operators import attribution, counting, identity, linking, measures, paths, quality, sequences, trends, upserts
 from meterlake.plans import agents, bookmarks, capacity, health, usage
 from meterlake.schemas import TOKEN_FIELDS
@@ -186,7 +187,7 @@ _AT = """valid_then AS (SELECT event_key, w.* FROM e JOIN windows w ON session_k
 
 
 def _resolved(spark: SparkSession, sf_dir: str, dimension: str) -> tuple[DataFrame, DataFrame]:
-    closed = attribution.evidence_windows(b.evidence(spark, sf_dir, dimension))
+    closed = cut(attribution.evidence_windows(b.evidence(spark, sf_dir, dimension)), "evidence")
     times = closed.groupBy("subject_kind", "subject_id", "dimension").agg(F.max("first_observed_at").alias("subject_time"))
     return closed, attribution.resolve(closed, times)
 
@@ -325,9 +326,12 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {b.ROOTS}, links AS (SELECT o_custkey::BIGINT AS a, (o_orderkey % 500)::BIGINT AS b FROM orders WHERE o_orderkey % 4 = 0),
-    pairs AS (SELECT coalesce(x.root, a) AS x, coalesce(y.root, b) AS y FROM links LEFT JOIN roots x ON a = x.node LEFT JOIN roots y ON b = y.node)
-    SELECT DISTINCT greatest(x, y) AS from_key, least(x, y) AS into_key FROM pairs
-    WHERE x <> y AND (greatest(x, y), least(x, y)) NOT IN (SELECT (from_key, into_key) FROM merges WHERE revoked_at IS NOT NULL)""")
+    pairs AS (SELECT coalesce(x.root, a) AS x, coalesce(y.root, b) AS y FROM links LEFT JOIN roots x ON a = x.node LEFT JOIN roots y ON b = y.node),
+    refused AS (SELECT from_key, into_key FROM merges WHERE revoked_at IS NOT NULL),
+    edge AS (SELECT DISTINCT greatest(x, y) AS x, least(x, y) AS y FROM pairs WHERE x <> y AND (greatest(x, y), least(x, y)) NOT IN (SELECT (from_key, into_key) FROM refused)),
+    both_ AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge),
+    reach(node, o) AS (SELECT x, x FROM both_ UNION SELECT reach.node, both_.y FROM reach JOIN both_ ON reach.o = both_.x)
+    SELECT node AS from_key, min(o) AS into_key FROM reach GROUP BY node HAVING node <> min(o) AND (node, min(o)) NOT IN (SELECT (from_key, into_key) FROM refused)""")
 def merges_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = b.merges(spark, sf_dir)
     links = b.table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") % 500).cast("long").alias("b"))
@@ -395,13 +399,15 @@ def latest_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.agents(rows, _now(rows), window_ms=3 * 86_400_000).select("pane", "observed_at", "state", "session_key", "error_key", "age_s")
 
 
-@query(f"""WITH {b.STATES}, k AS (SELECT *, lag((state, error_key, pane_pid)) OVER w AS before FROM st WHERE state <> 'unknown' WINDOW w AS (PARTITION BY pane ORDER BY observed_at, seq)),
-    i AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR before IS DISTINCT FROM (state, error_key, pane_pid)) OVER (PARTITION BY pane ORDER BY observed_at, seq ROWS UNBOUNDED PRECEDING) AS island FROM k)
+@query(f"""WITH {b.STATES}, g AS (SELECT *, pass_no - lag(pass_no) OVER (PARTITION BY pane ORDER BY observed_at, seq) > 1 AS gone FROM st),
+    p AS (SELECT *, count(*) FILTER (WHERE gone) OVER (PARTITION BY pane ORDER BY observed_at, seq ROWS UNBOUNDED PRECEDING) AS presence FROM g),
+    k AS (SELECT *, lag((state, error_key, pane_pid, presence)) OVER w AS before FROM p WHERE state <> 'unknown' WINDOW w AS (PARTITION BY pane ORDER BY observed_at, seq)),
+    i AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR before IS DISTINCT FROM (state, error_key, pane_pid, presence)) OVER (PARTITION BY pane ORDER BY observed_at, seq ROWS UNBOUNDED PRECEDING) AS island FROM k)
     SELECT pane, min(observed_at) AS onset, max(observed_at) AS last_seen, any_value(error_key) AS error_key, any_value(pane_pid) AS pane_pid,
-           min(observed_at) + arg_min(retry_after_ms, (observed_at, seq)) AS resets_at, count(*) AS samples
+           coalesce(arg_min_null(reset_hint, (observed_at, seq)), min(observed_at) + arg_min(retry_after_ms, (observed_at, seq))) AS resets_at, count(*) AS samples
     FROM i WHERE state = 'stalled' GROUP BY pane, island""")
 def stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.stalls(b.states(spark, sf_dir))
+    return sequences.stalls(b.states(spark, sf_dir), pass_no="pass_no")
 
 
 @query(f"""WITH {b.EVENTS}, p AS (SELECT *, lag(v % 3) OVER (PARTITION BY user_id ORDER BY observed_at, event_id) AS before FROM events_ WHERE k % 4 <> 0)
@@ -436,6 +442,21 @@ def peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.peak_concurrency(rows, ["event_type"], "lo", "hi")
 
 
+@query(f"""WITH {b.EVENTS}, logins AS (
+        SELECT user_id % 10 AS state_file, observed_at, arg_max(CASE WHEN k % 7 <> 0 THEN 'a' || (k % 3) ELSE '' END, event_id) AS account FROM events_ WHERE event_type = 'click' GROUP BY 1, 2),
+    seen AS (SELECT DISTINCT user_id % 10 AS state_file, 's:' || user_id AS session_key, observed_at FROM events_ WHERE event_type <> 'click'),
+    told AS (SELECT s.session_key, s.observed_at, l.account AS value FROM seen s ASOF JOIN logins l ON s.state_file = l.state_file AND s.observed_at >= l.observed_at),
+    t AS (SELECT *, lag(value) OVER (PARTITION BY session_key ORDER BY observed_at, value) AS before FROM told WHERE value <> ''),
+    r AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR before <> value) OVER (PARTITION BY session_key ORDER BY observed_at, value ROWS UNBOUNDED PRECEDING) AS run FROM t)
+    SELECT session_key AS subject_id, value, 'inferred' AS confidence, 'live' AS validity, min(observed_at) AS valid_from, max(observed_at) AS last_confirmed_at FROM r GROUP BY session_key, run, value""")
+def login_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.events(spark, sf_dir).withColumn("state_file", F.col("user_id") % 10)
+    logins = e.filter("event_type = 'click'").groupBy("state_file", "observed_at").agg(F.max_by(F.struct(F.when(F.col("k") % 7 != 0, F.concat(F.lit("a"), F.col("k") % 3)).alias("account")), "event_id").alias("_l"))
+    seen = e.filter("event_type <> 'click'").select("state_file", F.concat(F.lit("s:"), "user_id").alias("session_key"), "observed_at").distinct()
+    found = sequences.login_evidence(seen, logins.select("state_file", "observed_at", "_l.account"))
+    return found.select("subject_id", "value", "confidence", "validity", "valid_from", "last_confirmed_at")
+
+
 # -- paths and text ------------------------------------------------------------------------------
 
 
@@ -482,16 +503,12 @@ def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.upsert_coalesce(old, new, ["user_id"], always=("live",))
 
 
-@query(f"""WITH {b.EVENTS} SELECT user_id, k, max(v2) AS output_tokens, arg_min(event_type, (-v2, event_id)) AS event_type FROM events_ GROUP BY user_id, k""")
+@query(f"""WITH {b.EVENTS} SELECT user_id, k, max(v2) AS output_tokens, arg_min(event_type, (-v2, event_id % 2, event_id)) AS event_type FROM events_ GROUP BY user_id, k""")
 def upsert_max_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events, then odd ones: of equal outputs the stored row stays, then the earlier one."""
     e = b.events(spark, sf_dir).select("user_id", "k", F.col("event_id").alias("seq"), F.col("v2").alias("output_tokens"), "event_type")
-    first = e.filter("seq % 2 = 0")
-    old = upserts.upsert_by_rule(e.drop("seq").limit(0), first, ["user_id", "k"], "max_output")
-    # Of equal outputs the stored one stays; even events come before odd ones here, so ties go by event.
-    tied = e.join(first.select("user_id", "k", "output_tokens").distinct(), ["user_id", "k", "output_tokens"], "left_anti").filter("seq % 2 = 1")
-    rest = upserts.upsert_by_rule(old, tied, ["user_id", "k"], "max_output")
-    best = e.groupBy("user_id", "k").agg(F.min_by("event_type", F.struct((-F.col("output_tokens")).alias("o"), "seq")).alias("event_type"))
-    return rest.drop("event_type").join(best, ["user_id", "k"])
+    old = upserts.upsert_by_rule(e.drop("seq").limit(0), e.filter("seq % 2 = 0"), ["user_id", "k"], "max_output")
+    return upserts.upsert_by_rule(old, e.filter("seq % 2 = 1"), ["user_id", "k"], "max_output")
 
 
 @query(f"WITH {b.EVENTS} SELECT event_id AS run_id, observed_at AS started_at FROM events_ ORDER BY observed_at DESC, event_id DESC LIMIT 20")
@@ -532,11 +549,27 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_keys(b.events(spark, sf_dir), ["user_id", "k"])
 
 
-@query("SELECT 'x' AS measure, 0::BIGINT AS rows_sum, 0::BIGINT AS total WHERE false")
+@query(f"""WITH {_PRIMARY}, part AS (SELECT {_SUMS} FROM e WHERE model <> 'm1'), whole AS (SELECT {_SUMS} FROM e)
+    SELECT measure, p AS rows_sum, w AS total FROM (UNPIVOT part ON COLUMNS(*) INTO NAME measure VALUE p) JOIN (UNPIVOT whole ON COLUMNS(*) INTO NAME measure VALUE w) USING (measure) WHERE p <> w""")
 def usage_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed, resolved = _resolved(spark, sf_dir, "account")
-    found = usage.usage(_events(spark, sf_dir), "account", effective=resolved, evidence=closed)
-    return quality.usage_invariants(found.rows, found.total)
+    """Usage by model that lacks a group: every measure that then falls short of the total."""
+    found = usage.usage(_events(spark, sf_dir), "model")
+    return quality.usage_invariants(found.rows.filter("key <> 'm1'"), found.total)
+
+
+@query(f"WITH {_PRIMARY} SELECT 'reasoning above output' AS rule, count(*) FILTER (WHERE reasoning_output_tokens > output_tokens) AS n FROM e")
+def usage_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.violations(_events(spark, sf_dir), quality.usage_rules())
+
+
+@query(f"""WITH {_LINKS} SELECT p.event_key, count(DISTINCT s.source) AS n FROM links l JOIN obs s USING (observation_id) JOIN obs p ON p.event_key = l.event_key AND p."primary" GROUP BY 1 HAVING count(DISTINCT s.source) > 1
+    UNION ALL SELECT k % 50, count(DISTINCT source) FROM obs JOIN (SELECT event_id, k FROM events_) ON event_id = observation_id WHERE k IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+def several_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that observations of several sources support, and made-up fields that several sources give."""
+    o = b.observations(spark, sf_dir)
+    links = linking.link_secondary(o).join(o.select("observation_id", "source"), "observation_id")
+    fields = o.join(b.events(spark, sf_dir).select(F.col("event_id").alias("observation_id"), "k"), "observation_id").filter("k IS NOT NULL").select((F.col("k") % 50).alias("event_key"), "source")
+    return quality.several(links, ["event_key"], "source").unionByName(quality.several(fields, ["event_key"], "source"))
 
 
 @query(f"""WITH {_PRIMARY}, prices(model, a, r, w, o) AS (VALUES ('m0', 3000, 300, 3750, 15000), ('m1', 800, 80, 1000, 4000), ('m2', 15000, 1500, 18750, 75000))
@@ -548,19 +581,19 @@ def list_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.list_price(_events(spark, sf_dir), prices).select("event_key", "model", "cost_micro_usd")
 
 
-@query(f"""WITH {b.CAPACITY}, r AS (SELECT *, used_pct - lag(used_pct) OVER w AS used, observed_at - lag(observed_at) OVER w AS ms FROM (SELECT * FROM cap QUALIFY count(*) OVER (PARTITION BY stream_key, "window", observed_at) = 1)
+@query(f"""WITH {b.CAPACITY}, r AS (SELECT *, used_pct - lag(used_pct) OVER w AS used, observed_at - lag(observed_at) OVER w AS ms, observed_at // 259200000 = lag(observed_at // 259200000) OVER w AS same FROM (SELECT * FROM cap QUALIFY count(*) OVER (PARTITION BY stream_key, "window", observed_at) = 1)
         WINDOW w AS (PARTITION BY stream_key, "window" ORDER BY observed_at))
-    SELECT event_id, round(CASE WHEN used >= 0 AND ms > 0 THEN used * 3600000 / ms END, 6) AS pct_per_hour FROM r""")
+    SELECT event_id, round(CASE WHEN same AND used >= 0 AND ms > 0 THEN used * 3600000 / ms END, 6) AS pct_per_hour FROM r""")
 def burn_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.capacity(spark, sf_dir).withColumn("resets_at", F.lit(1).cast("long"))
+    rows = b.capacity(spark, sf_dir).withColumn("resets_at", F.expr("observed_at div 259200000"))  # an instance of three days
     alone = rows.groupBy("stream_key", "window", "observed_at").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
     return trends.burn_rate(rows.join(alone, ["stream_key", "window", "observed_at"]), ["stream_key", "window"]).select("event_id", F.round("pct_per_hour", 6).alias("pct_per_hour"))
 
 
-@query(f"""WITH {b.CAPACITY}, d AS (SELECT stream_key, "window", used_pct - min(used_pct) OVER (PARTITION BY stream_key, "window", stream_key::BIGINT % 2 ORDER BY observed_at RANGE BETWEEN 7200000 PRECEDING AND CURRENT ROW) AS d FROM cap)
+@query(f"""WITH {b.CAPACITY}, d AS (SELECT stream_key, "window", used_pct - min(used_pct) OVER (PARTITION BY stream_key, "window", observed_at // 259200000 ORDER BY observed_at RANGE BETWEEN 7200000 PRECEDING AND CURRENT ROW) AS d FROM cap)
     SELECT stream_key, "window", max(d) AS largest_drop FROM d GROUP BY 1, 2""")
 def largest_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.capacity(spark, sf_dir).withColumn("resets_at", F.col("stream_key").cast("long") % 2)
+    rows = b.capacity(spark, sf_dir).withColumn("resets_at", F.expr("observed_at div 259200000"))
     return trends.largest_drop(rows, ["stream_key", "window"], 7_200_000)
 
 

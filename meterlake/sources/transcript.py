@@ -72,11 +72,11 @@ def observations(rows: DataFrame, source: str, harness: str, provider: str, secr
 
 
 def _first_of_largest(rows: DataFrame) -> DataFrame:
-    """Snapshot collapse over the file order."""
-    largest = rows.groupBy("source_request_key").agg(F.max(F.coalesce("output_tokens", F.lit(-1))).alias("_top"), F.min_by("session_key", "_order").alias("_session"))
-    top = rows.join(largest, "source_request_key").filter(F.coalesce("output_tokens", F.lit(-1)) == F.col("_top"))
+    """Snapshot collapse over the file order, in one aggregation."""
     value = [c for c in rows.columns if c not in ("source_request_key", "_order", "session_key")]
-    return top.groupBy("source_request_key").agg(F.min_by(F.struct(*value), "_order").alias("_v"), F.first("_session").alias("session_key")).select("source_request_key", "session_key", "_v.*")
+    best = F.struct((-F.coalesce("output_tokens", F.lit(-1))).alias("o"), "_order")
+    out = rows.groupBy("source_request_key").agg(F.min_by(F.struct(*value), best).alias("_v"), F.min_by("session_key", "_order").alias("session_key"))
+    return out.select("source_request_key", "session_key", "_v.*")
 
 
 def limit_events(rows: DataFrame, source: str, zone: str) -> DataFrame:

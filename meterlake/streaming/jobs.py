@@ -19,9 +19,9 @@ from meterlake.plans.capacity import threshold_alerts
 
 
 class KeyedTable:
-    """A table of keyed rows on plain Parquet: each batch is a folder of its own, written whole or not at
-    all, and the current rows are those batches reduced by the table's rule. Compaction folds old
-    batches into one."""
+    """Keyed rows as the plain Parquet folders that batches were written to; the current rows are those
+    reduced by the table's rule. A batch that fails while it is written is run again by the stream and
+    replaces what it left."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], rule: str = "coalesce", always: tuple[str, ...] = ()) -> None:
         self.spark, self.path, self.schema, self.keys, self.rule, self.always = spark, path, schema, keys, rule, always
@@ -42,6 +42,14 @@ class KeyedTable:
             return upsert_coalesce(none, ranked, self.keys, "_seq", self.always)
         return upsert_by_rule(none, ranked, self.keys, self.rule, "_seq")
 
+    def compact(self, path: str) -> KeyedTable:
+        """The current rows as one batch of a fresh table, to which readers and writers may turn once it is
+        written; later batches go on from the newest number."""
+        newest = self._stored().agg(F.max("batch")).first()[0]
+        table = KeyedTable(self.spark, path, self.schema, self.keys, self.rule, self.always)
+        table.write(self.current(), newest or 0)
+        return table
+
     def sink(self, make: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
         """A function for ``foreachBatch``. A failing batch writes nothing and is run again."""
 
@@ -65,13 +73,13 @@ def _onsets(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     error, pid, onset = state.get if state.exists else (None, None, None)
     out = []
     for row in pd.concat(list(frames)).sort_values(["observed_at", "seq"]).itertuples():
-        known = None if pd.isna(row.error_key) else row.error_key
+        known, process = None if pd.isna(row.error_key) else row.error_key, None if pd.isna(row.pane_pid) else int(row.pane_pid)
         if row.state is None or row.state == "unknown":
             continue
         if row.state != "stalled":
             error, pid, onset = None, None, None
-        elif onset is None or (known, int(row.pane_pid)) != (error, pid):
-            error, pid, onset = known, int(row.pane_pid), int(row.observed_at)
+        elif onset is None or (known, process) != (error, pid):
+            error, pid, onset = known, process, int(row.observed_at)
             hint = row.reset_hint if pd.notna(row.reset_hint) else onset + row.retry_after_ms if pd.notna(row.retry_after_ms) else None
             out.append((key[0], onset, error, pid, hint))
     if onset is None:
@@ -79,7 +87,7 @@ def _onsets(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
             state.remove()
     else:
         state.update((error, pid, onset))
-    yield pd.DataFrame(out, columns=["pane", "onset", "error_key", "pane_pid", "resets_at"]).astype({"onset": "int64", "pane_pid": "int64", "resets_at": "Int64"})
+    yield pd.DataFrame(out, columns=["pane", "onset", "error_key", "pane_pid", "resets_at"]).astype({"onset": "int64", "pane_pid": "Int64", "resets_at": "Int64"})
 
 
 def stall_onsets(samples: DataFrame) -> DataFrame:

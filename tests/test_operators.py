@@ -92,6 +92,73 @@ def test_merges(spark):
     assert {r.problem for r in identity.merge_violations(bad, accounts).collect()} == {"equal ends", "several outgoing merges", "unknown account", "evidence merges into the larger key"}
 
 
+def test_merges_of_links_are_one_for_each_account(spark):
+    none = spark.createDataFrame([], "node long, root long")
+    links = spark.createDataFrame([(3, 1), (3, 2), (9, 8), (8, 7), (7, 20), (5, 5), (None, 4), (30, 31)], "a long, b long")
+    refused = spark.createDataFrame([(31, 30), (20, 7), (9, 7)], "from_key long, into_key long")
+    got = identity.merges_of_links(links, none, refused)
+    assert sorted(map(tuple, got.collect())) == [(2, 1), (3, 1), (8, 7)]
+    roots = identity.canonical_accounts(got.withColumn("revoked_at", F.lit(None).cast("long")))
+    assert roots.count() == roots.select("node").distinct().count() == 5
+    import random
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    least = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = {r.node: r.root for r in identity.least_connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {x: r for x, r in least.items() if x != r}
+
+
+def test_login_evidence(spark):
+    logins = spark.createDataFrame([("f", 10, "A"), ("f", 30, "B"), ("f", 50, None), ("f", 60, "B"), ("g", 5, "C")], "state_file string, observed_at long, account string")
+    seen = spark.createDataFrame([("f", "s", 5), ("f", "s", 10), ("f", "s", 20), ("f", "s", 30), ("f", "s", 55), ("f", "s", 70), ("g", "t", 9), ("f", None, 20)], "state_file string, session_key string, observed_at long")
+    got = sequences.login_evidence(seen, logins).collect()
+    assert sorted((r.subject_id, r.value, r.valid_from, r.last_confirmed_at) for r in got) == [("s", "A", 10, 20), ("s", "B", 30, 70), ("t", "C", 9, 9)]
+    assert {(r.confidence, r.validity, r.dimension) for r in got} == {("inferred", "live", "account")}
+
+
+def test_stalls_end_where_a_pane_is_gone(spark):
+    """Passes 1 to 4 read, 5 failed, 6 read; gone in 7 and 8; then again."""
+    rows = [("p", n * 10, n, None if n == 5 else "stalled", "e", 1, None, None, n) for n in (1, 2, 3, 4, 5, 6, 9, 10)]
+    table = spark.createDataFrame(rows, "pane string, observed_at long, seq long, state string, error_key string, pane_pid long, reset_hint long, retry_after_ms long, pass_no long")
+    assert sorted((r.onset, r.last_seen, r.samples) for r in sequences.stalls(table, pass_no="pass_no").collect()) == [(10, 60, 5), (90, 100, 2)]
+    assert [r.samples for r in sequences.stalls(table).collect()] == [7]
+
+
+def test_peak_concurrency_over_buckets(spark):
+    rows = [("a", 0, 100), ("a", 50, 60), ("a", 60, 70), ("a", 95, 300), ("b", 7, 7), (None, 1, 2), (None, 2, 3)]
+    table = spark.createDataFrame(rows, "g string, lo long, hi long")
+    for bucket in (1, 10, 64, 10**9):
+        got = sequences.peak_concurrency(table, ["g"], "lo", "hi", bucket).collect()
+        assert {(r.g, r.peak, r["at"]) for r in got} == {("a", 3, 60), ("b", 1, 7), (None, 2, 2)}
+
+
+def test_usage_by_account_with_own_and_ambiguous_evidence(spark):
+    e = spark.createDataFrame([(i, s, t, 1, 1, 1, 1, 0, False) for i, s, t in ((1, "s", 150), (2, "s", 250), (3, "t", 1), (4, None, 1), (5, "s", 250), (6, "u", 9))],
+        "event_key long, session_key string, observed_at long, uncached_input_tokens long, cache_read_input_tokens long, cache_write_input_tokens long, output_tokens long, reasoning_output_tokens long, auxiliary boolean")
+    rows = [ev("A", 1, 100), ev("B", 2, 200), ev("C", 3, 1, subject="t"), ("usage_event", "5", "account", "Z", "own", "src", "observed", "historical", 0, None, 1, 1, 4), ("usage_event", "6", "account", "Z", "own", "src", "observed", "historical", 99, None, 1, 1, 5)]
+    closed = attribution.evidence_windows(spark.createDataFrame(rows, EVIDENCE))
+    effective = spark.createDataFrame([("session", "s", "account", "ambiguous", None), ("session", "t", "account", "attributed", "C"), ("session", "u", "account", "attributed", "U"), ("usage_event", "5", "account", "attributed", "Z"), ("usage_event", "6", "account", "unattributed", None)],
+        "subject_kind string, subject_id string, dimension string, state string, value string")
+    found = usage.usage(e, "account", effective=effective, evidence=closed)
+    assert sorted((r.key or "", r.state, r.requests) for r in found.rows.collect()) == [("", "unattributed", 2), ("A", "attributed", 1), ("B", "attributed", 1), ("C", "attributed", 1), ("Z", "attributed", 1)]
+    roots = spark.createDataFrame([("A", "B"), ("B", "B")], "node string, root string")
+    merged = usage.usage(e, "account", effective=effective, evidence=closed, roots=roots).rows.collect()
+    assert {(r.key, r.requests) for r in merged if r.state == "attributed"} == {("B", 2), ("C", 1), ("Z", 1)}
+
+
+def test_quality_of_parts(spark):
+    links = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, None)], "k long, v string")
+    assert [tuple(r) for r in quality.several(links, ["k"], "v").collect()] == [(1, 2)]
+    e = spark.createDataFrame([(1, "s", 10, "m", 1, 1, None, 1, 3, False), (2, "s", 10, "m", 1, 1, 1, 4, 3, True)], "event_key long, session_key string, observed_at long, model string, uncached_input_tokens long, cache_read_input_tokens long, cache_write_input_tokens long, output_tokens long, reasoning_output_tokens long, auxiliary boolean")
+    assert [tuple(r) for r in quality.violations(e, quality.usage_rules()).collect()] == [("reasoning above output", 1)]
+    inner, outer = usage.usage(e, "model", include_auxiliary=False).total, usage.usage(e, "model").total
+    assert quality.not_within(inner, outer).count() == 0 and quality.not_within(outer, inner).filter("measure = 'requests'").count() == 1
+
+
 def test_merge_cycle_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(identity, "MAX_ROUNDS", 4)
     with pytest.raises(ValueError, match="cycle"):
@@ -190,9 +257,9 @@ SCREENS = [
 
 
 def test_screens(spark):
-    table = spark.createDataFrame([(i, a, b, None) for i, (a, b, _) in enumerate(SCREENS)] + [(99, "ruled", "x\n────────────\n❯ hint\n──", "x\n❯ \x1b[2mhint\x1b[0m")], "n long, layout string, plain string, styled string")
+    table = spark.createDataFrame([(i, a, b, None) for i, (a, b, _) in enumerate(SCREENS)] + [(99, "ruled", "x\n────────────\n❯ hint\n──", "x\n❯ \x1b[2mhint\x1b[0m"), (98, "ruled", "x\n────────────\n❯ hint real\n──", "x\n❯ \x1b[2mhint\x1b[;m real")], "n long, layout string, plain string, styled string")
     got = {r.n: r.reading for r in screens.classify(table).collect()}
-    assert [got[i].state for i in range(len(SCREENS))] == [s for _, _, s in SCREENS] and got[99].state == "idle"
+    assert [got[i].state for i in range(len(SCREENS))] == [s for _, _, s in SCREENS] and got[99].state == "idle" and got[98].state == "typing"
     assert got[4].reset_text == "3pm" and got[7].model == "big-1." and got[7].reset_text == "10:29 PM" and len(got[4].error_key) == 12
     assert (got[11].error_key, got[11].retry_after_ms, got[11].model) == ("req_1", 5000, "Large")
 

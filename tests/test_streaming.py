@@ -23,6 +23,15 @@ def test_keyed_table_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, table.current().collect())) == [(1, "a", 7), (2, None, 1), (3, "c", None)]
 
 
+def test_compaction_keeps_the_current_rows(spark, tmp_path):
+    table = jobs.KeyedTable(spark, str(tmp_path / "t"), "k long, name string, output_tokens long", ["k"])
+    for n, rows in enumerate([[(1, "a", 5)], [(1, None, 7), (2, "b", 1)]]):
+        table.write(spark.createDataFrame(rows, table.schema), n)
+    small = table.compact(str(tmp_path / "u"))
+    small.write(spark.createDataFrame([(2, None, 9)], table.schema), 2)
+    assert sorted(map(tuple, small.current().collect())) == [(1, "a", 7), (2, "b", 9)] and len(os.listdir(tmp_path / "u")) == 2
+
+
 def test_max_output_never_regresses(spark, tmp_path):
     table = jobs.KeyedTable(spark, str(tmp_path / "t"), "k long, name string, output_tokens long", ["k"], "max_output")
     table.write(spark.createDataFrame([(1, "large", 120)], table.schema), 0)
