@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.staging import staged
 
-#: Ranges for each partition, and sampled rows for each range: the sample is of so many rows, whatever the input.
+#: Ranges for each partition, and sampled rows for each range: the sample is of about so many rows, whatever the input.
 RANGES, SAMPLED = 4, 8
 _LEAST_ID = -(2**63)
 
-_RUNS = "id long, sha string, run string, edge string, again boolean"
+_RUNS = "id string, sha string, run string, edge string, again boolean"
 
 
 def _beginning(before: str, text: str) -> str:
@@ -39,9 +39,12 @@ def _beginning(before: str, text: str) -> str:
 
 
 def _splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """Places in the order of (text, id) that cut a sample into ``ranges`` equal parts. The sample is sorted
-    in one task, and only beginnings of its texts are sent to the driver."""
-    sample = staged(rows.select("text", F.coalesce("id", F.lit(_LEAST_ID)).alias("id")).orderBy(F.xxhash64("text", "id")).limit(ranges * SAMPLED), "exact-sample")
+    """Places in the order of (text, id) that cut a sample into about ``ranges`` equal parts. The sample, some
+    ``ranges * SAMPLED`` rows by their hash, is sorted in one task, and only beginnings of its texts are
+    sent to the driver."""
+    share = ranges * SAMPLED / max(1, rows.count())
+    keyed = rows.select("text", F.coalesce("id", F.lit(_LEAST_ID)).alias("id"))
+    sample = staged(keyed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(2**40)) < F.lit(int(min(1.0, share) * 2**40))), "exact-sample")
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, n = None, 0
@@ -75,7 +78,7 @@ def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 turns = row[0] != held[0]
                 joins = not turns and row[3] == held[3]
                 out.append(told(turns, joins))
-                again = joins and (row[1] == held[1] or (pd.isna(row[1]) and pd.isna(held[1])))
+                again = joins and row[1] == held[1]
                 number, starts, joined = 0 if turns else number + (not joins), turns, joins
             held = row
         if out:
@@ -85,8 +88,7 @@ def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["id", "sha", "run", "edge", "again"], dtype=object)
-    return out.assign(id=pd.array(out["id"].where(out["id"].notna(), None), dtype="Int64"), again=out["again"].astype(bool))
+    return pd.DataFrame(rows, columns=["id", "sha", "run", "edge", "again"], dtype=object).astype({"again": bool})
 
 
 def exact_groups(
@@ -118,7 +120,9 @@ def exact_groups(
 
     placed = rows.withColumn("bucket", bucket("text", F.coalesce("id", F.lit(_LEAST_ID)))).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     ranged = placed.repartition(n, "bucket").sortWithinPartitions("bucket", "text", "id")
-    runs = staged(ranged.mapInPandas(_runs, _RUNS), "exact-runs")
+    # As text, so that a null beside it takes nothing from a large identifier.
+    named = ranged.select("bucket", F.col("id").cast("string").alias("id"), "sha", "text").mapInPandas(_runs, _RUNS)
+    runs = staged(named.withColumn("id", F.col("id").cast("long")), "exact-runs")
 
     # Edge runs with equal whole texts are one run: two rows at most for each range.
     edges = runs.filter(F.col("edge").isNotNull()).groupBy("edge").agg(F.collect_set("run").alias("runs")).filter(F.size("runs") > 1)

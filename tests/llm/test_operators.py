@@ -319,7 +319,7 @@ def test_exact_runs_over_partitions(spark):
 def test_exact_splitters_follow_the_content(spark):
     """Ranges in the order of (text, id), also where texts begin alike; repeated rows keep one."""
     long = "the same opening " * 40
-    rows = [(i, long + f"{i % 50:03d}" + "x" * (i % 3)) for i in range(900)] + [(5, long + "005xx")] * 3 + [(None, long)] * 3 + [(i, "z") for i in range(200)]
+    rows = [(i, long + f"{i % 50:03d}" + "x" * (i % 3)) for i in range(900)] + [(5, long + "005xx")] * 3 + [(None, long)] * 3 + [(i, "z") for i in range(200)] + [(2**60 + 1, "big"), (2**60, "big"), (None, "big")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     cuts = exact_dedup._splitters(table.withColumnRenamed("doc_id", "id"), 8)
     assert cuts == sorted(cuts) and len(cuts) >= 6 and all(len(t) < len(long) + 6 for t, _ in cuts)
