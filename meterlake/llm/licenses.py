@@ -1,8 +1,8 @@
 """Licence scan by canonical digest lookup.
 
-A text's case, punctuation, copyright statements and equivalent spellings are normalised; the digest of
-what is left, of the entire text and of each of its lines, is joined with the digests of known
-licences. Only DataFrame expressions are used.
+A text's case, punctuation, line breaks, copyright statements and equivalent spellings are normalised; the
+digest of what is left, of the entire text and of each of its lines, is joined with the digests of
+known licences. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -88,24 +88,37 @@ def _bare(line: Column) -> Column:
 
 
 def _one_spelling(words: Column) -> Column:
-    odd, same = F.lit(False), words
+    # With doubled spaces neighbours share none, so the same word twice is replaced twice.
+    odd, same = F.lit(False), F.replace(words, F.lit(" "), F.lit("  "))
     for word, plain in SPELLINGS:
         odd = odd | F.contains(words, F.lit(f" {word} "))
-        same = F.replace(same, F.lit(f" {word} "), F.lit(f" {plain} "))
-    return F.trim(F.when(odd, same).otherwise(words))
+        same = F.replace(same, F.lit(f" {word} ".replace(" ", "  ")[1:-1]), F.lit(f" {plain} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.when(odd, F.regexp_replace(same, " +", " ")).otherwise(words))
 
 
 def _digest(words: Column) -> Column:
     return F.when(words != "", F.sha2(words.cast("binary"), 256))
 
 
+def _stated(text: Column) -> Column:
+    """The text without its copyright statements."""
+    return F.when(F.regexp_like(text, F.lit(_MARKED)), F.regexp_replace(F.regexp_replace(text, STATEMENTS, " "), INSIDE, " ")).otherwise(text)
+
+
+def _canonical(parts: Column) -> Column:
+    """Canonical forms of the texts of an array. Each step is a transform of its own, so no step is
+    computed again for every use of its result."""
+    return F.transform(F.transform(parts, lambda x: F.regexp_replace(_bare(x), " +", " ")), _one_spelling)
+
+
+def _whole(text: Column) -> Column:
+    """The canonical form of an entire text, wherever its lines break."""
+    return F.get(_canonical(F.transform(F.array(text), _stated)), 0)
+
+
 def _lines(text: Column) -> Column:
-    """Canonical lines that have words, in order, without their copyright statements. Each
-    step is a transform of its own, so no step is computed again for every use of its result."""
-    stated = F.regexp_replace(F.regexp_replace(text, STATEMENTS, " "), INSIDE, " ")
-    text = F.when(F.regexp_like(text, F.lit(_MARKED)), stated).otherwise(text)
-    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(_bare(x), " +", " "))
-    return F.filter(F.transform(bare, _one_spelling), lambda x: x != "")
+    """Canonical lines that have words, in order, without their copyright statements."""
+    return F.filter(_canonical(F.split(_stated(text), "\n")), lambda x: x != "")
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -122,7 +135,7 @@ def known_digests(spark: SparkSession) -> DataFrame:
     """``digest, license`` of the known texts: as many rows as they are, whatever the corpus."""
     listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN + full_texts()])
     rows = spark.range(1).select(F.inline(listed))
-    return rows.select(_digest(F.array_join(_lines(F.col("text")), " ")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select(_digest(_whole(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,10 +145,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows; other columns are ignored."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     known = F.broadcast(known_digests(docs.sparkSession))  # as many rows as there are known texts
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), _lines(text).alias("lines"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    whole = rows.select("doc_id", "key", "row", _digest(F.array_join("lines", " ")).alias("digest")).join(known, "digest", "left")
-    lines = rows.select("key", "row", F.posexplode("lines").alias("at", "line")).select("key", "row", "at", _digest(F.col("line")).alias("digest")).join(known, "digest")
+    whole = rows.select("doc_id", "key", "row", _whole(F.col("text")).alias("whole")).select("doc_id", "key", "row", _digest(F.col("whole")).alias("digest")).join(known, "digest", "left")
+    lines = rows.select("key", "row", F.posexplode(_lines(F.col("text"))).alias("at", "line")).select("key", "row", "at", _digest(F.col("line")).alias("digest")).join(known, "digest")
     # Repeated rows are known by the same key: each line of theirs counts once.
     once = lines.groupBy("key", "row", "at").agg(F.first("license").alias("license"))
     found = once.groupBy("key", "row").agg(F.sort_array(F.collect_set("license")).alias("notices"), F.count("*").alias("n_notices"))

@@ -94,16 +94,23 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical_sql(line: str) -> str:
-    out = f"' ' || regexp_replace(regexp_replace(lower({line}), '©|\\(c\\)', ' copyright ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
-    out = f"regexp_replace({out}, ' +', ' ', 'g')"
+def _spelled_sql(text: str) -> str:
+    out = f"' ' || regexp_replace(regexp_replace(lower({text}), '©|\\(c\\)', ' copyright ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    out = f"regexp_replace({out}, ' +', '  ', 'g')"
     for word, plain in licenses.SPELLINGS:
-        out = f"replace({out}, ' {word} ', ' {plain} ')"
-    out = f"trim({out})"
+        out = f"replace({out}, ' {word.replace(' ', '  ')} ', ' {plain.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+def _canonical_sql(line: str) -> str:
+    out = _spelled_sql(line)
     return f"CASE WHEN regexp_matches({out}, '{licenses.COPYRIGHT}') THEN '' ELSE {out} END"
 
 
-_LINES_SQL = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_canonical_sql('l')}), lambda x: x <> '')"
+_RAW_LINES = "string_split(coalesce(text, ''), chr(10))"
+_LINES_SQL = f"list_filter(list_transform({_RAW_LINES}, lambda l: {_canonical_sql('l')}), lambda x: x <> '')"
+#: The entire text but for the lines that state a copyright.
+_WHOLE_SQL = _spelled_sql(f"array_to_string(list_filter({_RAW_LINES}, lambda l: NOT regexp_matches({_spelled_sql('l')}, '{licenses.COPYRIGHT}')), chr(10))")
 
 _BLANK, _W = sentence_dedup.SPACE, sentence_dedup.WINDOW
 
@@ -162,9 +169,9 @@ ORACLES: dict[str, str] = {
     """,
     "op8_licenses": f"""
         WITH known_texts(license, text) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}),
-        known AS (SELECT sha256(array_to_string({_LINES_SQL}, ' ')) AS digest, min(license) AS license FROM known_texts GROUP BY 1),
-        d AS (SELECT doc_id, {_LINES_SQL} AS lines FROM documents),
-        w AS (SELECT doc_id, lines, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS digest FROM d),
+        known AS (SELECT sha256({_WHOLE_SQL}) AS digest, min(license) AS license FROM known_texts GROUP BY 1),
+        d AS (SELECT doc_id, {_LINES_SQL} AS lines, {_WHOLE_SQL} AS whole FROM documents),
+        w AS (SELECT doc_id, lines, CASE WHEN whole <> '' THEN sha256(whole) END AS digest FROM d),
         f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
               FROM (SELECT doc_id, unnest(lines) AS line FROM d) JOIN known ON sha256(line) = known.digest GROUP BY doc_id)
         SELECT w.doc_id, w.digest AS canonical_sha256, known.license, coalesce(notices, '') AS notices, coalesce(n, 0)::BIGINT AS n_notices

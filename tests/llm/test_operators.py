@@ -499,6 +499,17 @@ def test_licenses_behind_copyright_statements(spark):
     assert [r.canonical_sha256 for r in got[c:]] == [None] * len(none)
 
 
+def test_licenses_wherever_lines_break(spark):
+    import textwrap
+
+    texts = [(n, t) for n, t in licenses.KNOWN if len(t) > 400] + [(n, t) for n, t in licenses.full_texts() if n == "MPL-2.0"]
+    wrapped = [(n, w, "\n".join(textwrap.wrap(" ".join(t.split()), w, break_long_words=False, break_on_hyphens=False))) for n, t in texts for w in (58, *range(60, 90, 3), 200)]
+    table = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(wrapped)] + [(-1, "licence licence licences favour favour")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert [(n, w) for i, (n, w, _) in enumerate(wrapped) if got[i].license != n] == []
+    assert got[-1].canonical_sha256 == hashlib.sha256(b"license license licenses favor favor").hexdigest()
+
+
 def test_licenses_full_texts(spark):
     texts = dict(licenses.full_texts()[::-1])
     assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= {*texts}
