@@ -1,15 +1,22 @@
 """Suffix array of a shard by induced sorting, and its permuted longest common prefixes.
 
-Leftmost smaller (LMS) substrings are sorted by one induction and named; the string of names is
-ordered by rank doubling, as far as ``depth`` bytes need; a second induction gives the whole array.
-A bucket's suffixes are moved at once, in their order, so each induction is one pass over the
-alphabet.
+Suffixes are classified as smaller or larger than the next one; the leftmost smaller (LMS) substrings
+are sorted by one induction and named; the suffixes of the string of names are ordered by the same
+method, recursively; a second induction gives the whole array. Over a small alphabet a bucket's
+suffixes are moved at once, in their order; over the many names of a deeper level, one by one.
+
+A string ends in a 0 that stands nowhere else in it.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
+#: Suffixes placed one by one in the time of a step that moves a bucket.
+STEP = 64
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last one counts as such."""
@@ -32,6 +39,44 @@ def _deal(places: np.ndarray, s: np.ndarray, buckets: list[list[np.ndarray]]) ->
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, induced from the LMS suffixes in the order given."""
+    starts = np.flatnonzero(np.append(True, np.diff(s) != 0))
+    longest = np.zeros(int(s.max()) + 1, np.int64)
+    np.maximum.at(longest, s[starts], np.diff(np.append(starts, len(s))))
+    # By buckets it takes a step for each letter and each letter of its longest run.
+    return (_induce_buckets if STEP * int(longest.sum()) < len(s) else _induce_each)(s, small, lms)
+
+
+def _induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Induction by one scan from the left and one from the right."""
+    n, counts = len(s), np.bincount(s)
+    ends = np.cumsum(counts)
+    order = np.full(n, -1, np.int32)
+    # Equal letters of the LMS suffixes fill the end of their bucket, in the order given.
+    sorted_ = lms[np.argsort(s[lms], kind="stable")]
+    seeds = np.bincount(s[lms], minlength=len(counts))
+    order[np.repeat(ends - np.cumsum(seeds), seeds) + np.arange(len(lms))] = sorted_
+    letter, before = np.full((2, n + 1), -1, np.int32), np.where(small[:-1], 1, 0)
+    letter[before, np.arange(1, n)] = s[:-1]  # of the suffix one before, if it is of the kind that the scan places
+    places = array("i", order.tobytes())
+    kind, head = array("i", letter[0].tobytes()), array("i", (ends - counts).astype(np.int32).tobytes())
+    for i in range(n):
+        p = places[i]
+        c = kind[p]
+        if c >= 0:
+            places[head[c]] = p - 1
+            head[c] += 1
+    kind, tail = array("i", letter[1].tobytes()), array("i", ends.astype(np.int32).tobytes())
+    for i in range(n - 1, -1, -1):
+        p = places[i]
+        c = kind[p]
+        if c >= 0:
+            tail[c] -= 1
+            places[tail[c]] = p - 1
+    return np.frombuffer(places, np.int32).astype(np.int64)
+
+
+def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same, a bucket at a time."""
     letters = int(s.max()) + 1
     seeds: list[list[np.ndarray]] = [[] for _ in range(letters)]
     larger: list[list[np.ndarray]] = [[] for _ in range(letters)]
@@ -93,23 +138,8 @@ def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return name[lms]
 
 
-def _order_of(names: np.ndarray, reach: int) -> np.ndarray:
-    """Suffixes of the string of names in order of their first ``reach`` names, by rank doubling."""
-    rank, n, step = names + 1, len(names), 1
-    while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:]
-        key = rank * (int(rank.max()) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        rank_now = np.zeros(n, np.int64)
-        rank_now[order] = np.append(0, np.cumsum(np.diff(key[order]) != 0)) + 1
-        rank, step = rank_now, step * 2
-        if step >= reach or step >= n or rank.max() == n:
-            return order
-
-
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``s`` in the order of at least their first ``depth`` letters. ``s`` ends in a 0."""
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffixes of ``s`` in order."""
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) < 2:
@@ -120,60 +150,62 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     order = first[is_lms[first]]
     names = _names(s, order, lms)
     if names.max() + 1 < len(lms):
-        order = lms[_order_of(names, depth // 2 + 2)]
+        order = lms[suffix_array(names)]
     return _induce(s, small, order)
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each place in text order, the letters it shares with its predecessor in the array, counted
-    to the power of two from ``depth`` on; zero for the first."""
-    phi = np.zeros(len(s), np.int64)
+def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place in text order, the letters it shares with its predecessor in the array; zero for
+    the first. Where the letters before both are equal too, that is one less than at the place before;
+    only the other places are compared, letter by letter."""
+    n = len(s)
+    phi = np.zeros(n, np.int64)
     phi[order[1:]] = order[:-1]
-    top = 1
-    while top * 2 <= depth:
-        top *= 2
-    hashes, size = [(1, (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))], 1
-    base = 0xD6E8FEB86659FD93
-    while size < top:
-        h = hashes[-1][1]
-        ahead = np.zeros_like(h)
-        ahead[: len(h) - size] = h[size:] if size < len(h) else 0
-        hashes.append((size * 2, h * np.uint64(base) + ahead))
-        base, size = base * base % 2**64, size * 2
-    here, shared = np.arange(len(s)), np.zeros(len(s), np.int64)
-    limit = len(s) - np.maximum(here, phi)
-    for size, h in reversed(hashes):
-        x, y = here + shared, phi + shared
-        fits = shared + size <= limit
-        same = np.zeros(len(s), bool)
-        same[fits] = h[x[fits]] == h[y[fits]]
-        shared[same] += size
-    shared[order[0]] = 0
-    return shared
+    if n == 1:
+        return phi
+    own = s[np.arange(n) - 1] != s[phi - 1]
+    here = np.flatnonzero(own)
+    there, value = phi[here], np.zeros(len(here), np.int64)
+    wide = np.zeros(n + 3, np.uint64)
+    wide[:n] = s
+    four = wide[:n] | wide[1 : n + 1] << np.uint64(16) | wide[2 : n + 2] << np.uint64(32) | wide[3:] << np.uint64(48)
+    alive, done = np.arange(len(here)), 0
+    while len(alive) > 64 or (len(alive) and done < 512):
+        other = four[here[alive] + done] ^ four[there[alive] + done]
+        for bits in (16, 32, 48, 64):
+            value[alive] += other & np.uint64(2**bits - 1) == 0
+        alive, done = alive[other == 0], done + 4
+    for i in alive.tolist():
+        a, b = here[i] + done, there[i] + done
+        while True:
+            m = min(65_536, n - max(a, b))
+            apart = np.flatnonzero(s[a : a + m] != s[b : b + m])
+            if len(apart):
+                value[i] = a + apart[0] - here[i]
+                break
+            a, b = a + m, b + m
+    nearest = np.cumsum(own) - 1
+    return value[nearest] - (np.arange(n) - here[nearest])
 
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, whether its ``length`` bytes from each place also start at another place, of
     the same text or of another. Nothing matches across texts."""
-    size = sum(map(len, texts)) + len(texts)
-    s = np.zeros(size, np.int64)
+    size = sum(map(len, texts)) + len(texts) + 1
+    s = np.ones(size, np.int32)  # 1 ends a text, 0 the shard
+    s[-1] = 0
     at, starts = 0, []
     for text in texts:
-        s[at : at + len(text)] = np.frombuffer(text, np.uint8).astype(np.int64) + 1
+        s[at : at + len(text)] = np.frombuffer(text, np.uint8).astype(np.int32) + 2
         starts.append(at)
         at += len(text) + 1
-    order = suffix_array(s, length)
-    shared = common_prefixes(s, order, length)
+    order = suffix_array(s)
+    shared = common_prefixes(s, order)
     phi = np.zeros(size, np.int64)
     phi[order[1:]] = order[:-1]
-    gap = np.flatnonzero(s == 0)
+    gap = np.flatnonzero(s < 2)
     room = gap[np.searchsorted(gap, np.arange(size))] - np.arange(size)
     places = np.flatnonzero((shared >= length) & (room >= length))
-    places = places[room[phi[places]] >= length]
-    # Hash equality is checked on the letters themselves.
-    for lo in range(0, length, 8):
-        for j in range(lo, min(lo + 8, length)):
-            places = places[s[places + j] == s[phi[places] + j]]
     marked = np.zeros(size, bool)
     marked[places] = True
     marked[phi[places]] = True

@@ -129,6 +129,33 @@ def _merged(run):
     return gathered
 
 
+def _cut(texts: DataFrame, length: int) -> DataFrame:
+    """``name, digest, bytes, large`` of the segments (``cuts``) of each text; a text is read once for all of its segments."""
+    arrow = pa.schema([("name", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary()), ("large", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], arrow.field(i).type) for i in range(4)], schema=arrow)
+
+        for batch in batches:
+            for part, raw in slices(batch, "text"):
+                for cuts, text in zip(part.column("cuts"), raw, strict=True):
+                    for c in cuts.as_py():
+                        piece = text[c["at"] : c["at"] + c["n"] + length - 1]
+                        held.append((c["name"], c["digest"], piece, c["bytes"] > NAME_BYTES))
+                        size += len(piece)
+                        if size >= PIECE:
+                            yield out()
+                            held, size = [], 0
+        if held:
+            yield out()
+
+    return texts.select("text", "cuts").mapInArrow(run, "name long, digest binary, bytes binary, large boolean")
+
+
 def _runs(flags: np.ndarray) -> list[dict]:
     turns = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return [{"a": int(a), "b": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)]
@@ -199,9 +226,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     kinds = distinct.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + length - 1).alias("bytes"))
     unlike = distinct.join(kinds, "name").filter("kinds > 1 OR times = 1")
     cut = unlike.groupBy(F.col("one.row").alias("row"), F.col("one.mark").alias("mark")).agg(F.collect_list(F.struct("name", "digest", F.col("one.at").alias("at"), "n", "bytes")).alias("cuts"))
-    texts = cut.join(rows.select("row", "mark", "text"), ["row", "mark"]).select("text", F.explode("cuts").alias("c"))
-    bytes_ = F.substring(F.encode("text", "utf-8"), (F.col("c.at") + 1).cast("int"), (F.col("c.n") + length - 1).cast("int"))
-    shown = texts.select("c.name", "c.digest", bytes_.alias("bytes"), (F.col("c.bytes") > NAME_BYTES).alias("large"))
+    shown = _cut(cut.join(rows.select("row", "mark", "text"), ["row", "mark"]), length)
     shown = staged(shown.dropDuplicates(["name", "digest"]) if _repeated(rows) else shown, "segment-bytes")
     found = _sharded(shown.filter("NOT large").drop("large"), length).unionByName(_windowed(shown.filter("large").drop("large"), length))
 

@@ -121,12 +121,39 @@ def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
 
 
-def test_suffix_array():
+def suffixes(t):
+    return sorted(range(len(t)), key=lambda i: t[i:])
+
+
+@pytest.mark.parametrize("step", [0, 64, 10**9])
+def test_suffix_array(step, monkeypatch):
+    monkeypatch.setattr(suffix_array, "STEP", step)
     rng = random.Random(1)
     for _ in range(200):
         t = bytes(97 + rng.randrange(rng.choice([1, 2, 3, 26])) for _ in range(rng.randint(1, 50)))
         s = np.append(np.frombuffer(t, np.uint8).astype(np.int64) + 1, 0)
-        assert suffix_array.suffix_array(s, 200).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_suffix_array_of_long_repeats():
+    rng = random.Random(2)
+    part = bytes(97 + rng.randrange(20) for _ in range(3000))
+    t = part + b"ab" * 700 + part[:2500] + b"z" * 900 + part + b"\0"
+    s = np.frombuffer(t, np.uint8).astype(np.int64)
+    assert suffix_array.suffix_array(s).tolist() == suffixes(t)
+
+
+def test_common_prefixes():
+    rng = random.Random(3)
+    for n in [1, 2, 5, 40, 300, 3000]:
+        for letters in (1, 2, 26):
+            t = bytes(97 + rng.randrange(letters) for _ in range(n)) * 2 + b"\0"
+            order = suffixes(t)
+            got = suffix_array.common_prefixes(np.frombuffer(t, np.uint8).astype(np.int64), np.array(order))
+            for a, b in zip(order, order[1:]):
+                want = next(i for i in range(len(t)) if t[a + i] != t[b + i])
+                assert got[b] == want
+            assert got[order[0]] == 0
 
 
 # -- 3 -------------------------------------------------------------------------------------------
