@@ -1,37 +1,21 @@
-"""Queries over the driver's tables, one for each operator, with the SQL that states the same rows."""
+"""Queries over the driver's tables, one for each operator, with the SQL that states the same rows. Those
+that write logs and read them back, and those of the rules, stand in modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import bindings as b
+from meterlake import log_queries, rule_queries  # noqa: F401  (they register their queries)
 from meterlake.functions import scalars, screens
 from meterlake.lineage import cut
 from meterlake.operators import attribution, counting, identity, linking, measures, paths, quality, sequences, trends, upserts
 from meterlake.plans import agents, bookmarks, capacity, health, usage
+from meterlake.registry import ORACLES, QUERIES, keyed_hash_sql, query  # noqa: F401
 from meterlake.schemas import TOKEN_FIELDS
 from meterlake.sources import session_log, transcript
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query and, where SQL states it, its SQL."""
-
-    def add(make: Callable[[SparkSession, str], DataFrame]):
-        key = name or make.__name__
-        QUERIES[key] = make
-        if sql:
-            ORACLES[key] = sql
-        return make
-
-    return add
-
-
 # -- counting ------------------------------------------------------------------------------------
 
 
@@ -642,7 +626,7 @@ def parse_roundtrip_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- hashing and screens -------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH {b.OBSERVATIONS} SELECT observation_id, {keyed_hash_sql(b"0123456789abcdef0123456789abcdef", "request:p", "provider_request_key")} AS request_hash FROM obs""")
 def keyed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.observations(spark, sf_dir).select("observation_id", scalars.keyed_hash(b"0123456789abcdef0123456789abcdef", "request:p", F.col("provider_request_key")).alias("request_hash"))
 
