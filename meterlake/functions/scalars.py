@@ -85,6 +85,23 @@ def next_wall_clock(hour12: Column, minute: Column, half: Column, at_ms: Column,
     return F.when(hour12.between(1, 12) & minute.between(0, 59), local_ms(shown, zone))
 
 
+def next_clock_time(text: Column, at_ms: Column, zone: str) -> Column:
+    """The time that a text such as ``10:29 PM``, ``3 p.m.`` or ``Oct 2, 2026 10:29 PM`` names in ``zone``:
+    without a date the next one after ``at_ms``; null for any other text."""
+    shown = F.upper(F.replace(F.trim(text), F.lit("."), F.lit("")))
+    pattern = r"^(?:([A-Z]{3})\s+(\d{1,2}),\s+(\d{4})\s+(?=\d{1,2}:\d{2}\s+[AP]M$))?(\d{1,2})(?::(\d{2}))?\s*([AP])M$"
+    part = lambda i: F.regexp_extract(shown, pattern, i)
+    hour12, minute = part(4).try_cast("int"), F.coalesce(part(5).try_cast("int"), F.lit(0))
+    minutes = F.when(hour12.between(1, 12) & minute.between(0, 59), (hour12 % 12 + F.when(part(6) == "P", 12).otherwise(0)) * 60 + minute)
+    months = F.array(*[F.lit(m) for m in ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")])
+    day = F.try_make_timestamp_ntz(part(3).try_cast("int"), F.array_position(months, part(1)).cast("int"), part(2).try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    local = local_time(at_ms, zone)
+    midnight = F.to_date(local).cast("timestamp_ntz")
+    next_day = F.when(F.timestamp_add("MINUTE", minutes, midnight) > local, 0).otherwise(1)
+    begin = F.when(part(1) != "", day).otherwise(F.timestamp_add("DAY", next_day, midnight))
+    return local_ms(F.timestamp_add("MINUTE", minutes, begin), zone)
+
+
 def window_by_seconds(seconds: Column) -> Column:
     """``session`` for five hours, ``weekly`` for seven days, else ``other:<seconds>s``."""
     return F.when(seconds == 18_000, "session").when(seconds == 604_800, "weekly").otherwise(F.concat(F.lit("other:"), seconds.cast("string"), F.lit("s")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalars import key_of
+from meterlake.functions.scalars import key_of, next_clock_time
 
 #: Fixed values of the layouts.
 RULE = r"^\s*─{8,}\s*$"
@@ -91,7 +91,7 @@ def _ruled(rows: DataFrame) -> DataFrame:
     text = F.array_join(near, "\n")
     state = F.when(~box, "unknown").when(_typed(rows, "❯") != "", "typing").when(busy, "busy").when(F.size("_hit") == 0, "idle").when(text.rlike(SELF_RESUME), "resuming").otherwise("stalled")
     rows = rows.withColumn("_state", state)
-    return rows.withColumn("_r", _reading(F.col("_state"), F.when(F.col("_state") != "unknown", model), key_of(F.lit("ruled"), F.array_join("_hit", "\n")), _first(text, RESETS), F.lit(None).cast("long")))
+    return rows.withColumn("_r", _reading(F.col("_state"), F.when(F.col("_state") != "unknown", model), key_of(F.col("_harness"), F.array_join("_hit", "\n")), _first(text, RESETS), F.lit(None).cast("long")))
 
 
 def _arrow(rows: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _arrow(rows: DataFrame) -> DataFrame:
     busy = F.exists(_tail(F.col("_lines"), at, 10), lambda x: x.rlike(ARROW_BUSY))
     state = F.when(at == 0, "unknown").when(_typed(rows, "›") != "", "typing").when(busy, "busy").when(F.size("_hit") == 0, "idle").otherwise("stalled")
     rows, text = rows.withColumn("_state", state), F.array_join(near, "\n")
-    return rows.withColumn("_r", _reading(F.col("_state"), F.when(F.col("_state") == "stalled", _first(text, MODEL_FOR)), key_of(F.lit("arrow"), F.array_join("_hit", "\n")), _first(text, TRY_AGAIN), F.lit(None).cast("long")))
+    return rows.withColumn("_r", _reading(F.col("_state"), F.when(F.col("_state") == "stalled", _first(text, MODEL_FOR)), key_of(F.col("_harness"), F.array_join("_hit", "\n")), _first(text, TRY_AGAIN), F.lit(None).cast("long")))
 
 
 def _boxed(rows: DataFrame) -> DataFrame:
@@ -124,9 +124,15 @@ def _boxed(rows: DataFrame) -> DataFrame:
 _LAYOUTS = {"ruled": _ruled, "arrow": _arrow, "boxed": _boxed}
 
 
-def classify(screens: DataFrame, layout: str = "layout", plain: str = "plain", styled: str = "styled") -> DataFrame:
+def classify(screens: DataFrame, layout: str = "layout", plain: str = "plain", styled: str = "styled", harness: str | None = None, at: str | None = None, zone: str = "UTC") -> DataFrame:
     """``screens`` with a column ``reading`` of state, model, error_key, reset_text and retry_after_ms.
-    Rows of an unknown layout are dropped. Each step is a column of its own, so none is computed twice."""
-    shown = screens.withColumn("_lines", lines_of(F.col(plain))).withColumn("_styled", F.coalesce(F.col(styled), F.lit("")))
-    parts = [make(shown.filter(F.col(layout) == name)).select(*screens.columns, F.col("_r").alias("reading")) for name, make in _LAYOUTS.items()]
+    Rows of an unknown layout are dropped. Each step is a column of its own, so none is computed twice.
+
+    ``harness`` names the column whose value tells the error keys of one program from another's (the
+    layout where it is not given). With ``at``, the column of the time at which the screen was taken, the
+    reading has ``reset_hint`` too: the time that ``reset_text`` names on a clock in ``zone``.
+    """
+    shown = screens.withColumn("_lines", lines_of(F.col(plain))).withColumn("_styled", F.coalesce(F.col(styled), F.lit(""))).withColumn("_harness", F.col(harness or layout))
+    reading = F.col("_r").withField("reset_hint", next_clock_time(F.col("_r.reset_text"), F.col(at), zone)) if at else F.col("_r")
+    parts = [make(shown.filter(F.col(layout) == name)).select(*screens.columns, reading.alias("reading")) for name, make in _LAYOUTS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

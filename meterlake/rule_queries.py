@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import bindings as b
-from meterlake.functions import scalars
+from meterlake.functions import scalars, screens
 from meterlake.lineage import cut
 from meterlake.operators import attribution, identity, linking, paths, quality, sequences, trends, upserts
 from meterlake.plans import agents, bookmarks, health
@@ -320,3 +320,53 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.events(spark, sf_dir).select("event_id", "observed_at")
     return upserts.expired(e, _newest(e), 10)
+
+
+# -- clocks and screens ----------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.EVENTS}, c AS (SELECT event_id, observed_at, k, v, timezone('Asia/Tokyo', to_timestamp(observed_at / 1000.0)) AS local, 1 + k % 12 AS h, v % 60 AS m, k % 2 * 12 AS pm FROM events_),
+    w AS (SELECT *, (h % 12 + pm) * 60 + CASE WHEN event_id % 4 < 2 THEN m ELSE 0 END AS minutes FROM c),
+    t AS (SELECT *, date_trunc('day', local) + to_minutes(minutes) AS today, make_date(2026, 1 + k % 12, 1 + v % 28)::TIMESTAMP + to_minutes(minutes) AS dated FROM w)
+    SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN epoch_ms(timezone('Asia/Tokyo', dated)) ELSE epoch_ms(timezone('Asia/Tokyo', CASE WHEN today > local THEN today ELSE today + INTERVAL 1 DAY END)) END AS resets_at FROM t""")
+def clock_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock times with minutes, with a date, of whole hours, and texts that are none."""
+    e, k = b.events(spark, sf_dir), F.col("k")
+    hour, minute, half = (1 + k % 12).cast("string"), F.lpad((F.col("v") % 60).cast("string"), 2, "0"), F.when(k % 2 == 1, "PM").otherwise("AM")
+    months = F.array(*[F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")])
+    clock = F.concat(hour, F.lit(":"), minute, F.lit(" "), half)
+    dated = F.concat(F.element_at(months, (k % 12 + 1).cast("int")), F.lit(" "), 1 + F.col("v") % 28, F.lit(", 2026 "), clock)
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, clock).when(kind == 1, dated).when(kind == 2, F.concat(hour, F.when(k % 2 == 1, " p.m.").otherwise("am"))).otherwise("soon")
+    return e.select("event_id", scalars.next_clock_time(text, F.col("observed_at"), "Asia/Tokyo").alias("resets_at"))
+
+
+#: What stands below a document on each layout's screen: typed text, an empty input line, and so on.
+_SCREENS = {
+    "ruled": ("\n──────────\n❯ hello\n──────────\n Opus 4.1", "\n──────────\n❯ \n──────────\n Opus 4.1", "\n✻ Pondering… (12s · esc to interrupt)\n──────────\n❯ \n──────────\n Opus 4.1",
+              "\nYou've hit your usage limit, resets 3:15pm\n──────────\n❯ \n──────────\n Opus 4.1", "\nYou've hit your usage limit\ncontinuing automatically\n──────────\n❯ \n──────────\n Opus 4.1", "\n❯ "),
+    "arrow": ("\n› hello", "\n› ", "\n• Working\n› ", "\nYou've hit your usage limit for m-1. try again at 10:29 PM.\n› ", "\n› ", "\nnothing"),
+    "boxed": ("\n╭── π > ◒ Large > x\n│ hello\n╰──", "\n╭── π > ◒ Large > x\n╰──", "\n╭── ✻ > ◒ Large > x\n╰──", "\nError: 429 usage limit retry-after-ms=5000\n╭── π > ◒ Large > x\n╰──", "\n╭── π > ◒ Large > x\n╰──", "\nnothing")}
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS t, doc_id // 6 % 3 AS l FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT *, CASE t WHEN 0 THEN CASE WHEN doc_id // 18 % 2 = 0 THEN 'idle' ELSE 'typing' END WHEN 1 THEN 'idle' WHEN 2 THEN 'busy' WHEN 3 THEN 'stalled' WHEN 4 THEN CASE l WHEN 0 THEN 'resuming' ELSE 'idle' END ELSE 'unknown' END AS st FROM d),
+    r AS (SELECT doc_id, l, CASE WHEN l = 2 AND t = 0 THEN 'typing' ELSE st END AS state FROM s)
+    SELECT doc_id, state, CASE WHEN state = 'unknown' THEN NULL WHEN l = 0 THEN 'Opus 4.1' WHEN l = 2 THEN 'Large' WHEN state = 'stalled' THEN 'm-1.' END AS model,
+           CASE WHEN state = 'stalled' THEN CASE l WHEN 0 THEN substr(sha1('h0' || chr(10) || 'You''ve hit your usage limit, resets 3:15pm'), 1, 12)
+                WHEN 1 THEN substr(sha1('h1' || chr(10) || 'You''ve hit your usage limit for m-1. try again at 10:29 PM.'), 1, 12) ELSE substr(sha1('Error: 429 usage limit retry-after-ms=5000'), 1, 12) END END AS error_key,
+           CASE WHEN state = 'stalled' AND l < 2 THEN CASE l WHEN 0 THEN '3:15pm' ELSE '10:29 PM' END END AS reset_text,
+           CASE WHEN state = 'stalled' THEN CASE l WHEN 0 THEN 1788275700000 WHEN 1 THEN 1788301740000 END END AS reset_hint, CASE WHEN state = 'stalled' AND l = 2 THEN 5000::BIGINT END AS retry_after_ms FROM r""")
+def screen_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a screen whose state is known. On every second screen with typed text under a rule
+    or an arrow the text is a dim hint, which counts as nothing typed."""
+    number = F.col("doc_id")
+    layout = F.element_at(F.array(*[F.lit(name) for name in _SCREENS]), (F.expr("doc_id div 6") % 3 + 1).cast("int"))
+    feet = F.create_map(*[x for name, feet in _SCREENS.items() for x in (F.lit(name), F.array(*[F.lit(foot) for foot in feet]))])
+    shown = b.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(
+        "doc_id", layout.alias("layout"), F.concat("text", F.element_at(F.element_at(feet, layout), (number % 6 + 1).cast("int"))).alias("plain"),
+        F.concat(F.lit("h"), F.expr("doc_id div 6") % 3).alias("program"), F.lit(1_788_220_800_000).alias("taken_at"))
+    dim = (number % 6 == 0) & (F.expr("doc_id div 18") % 2 == 0)
+    mark = F.when(F.col("layout") == "ruled", "❯").when(F.col("layout") == "arrow", "›")
+    shown = shown.withColumn("styled", F.when(dim, F.concat(mark, F.lit(" \x1b[2mhello\x1b[0m"))))
+    return screens.classify(shown, harness="program", at="taken_at").select("doc_id", "reading.state", "reading.model", "reading.error_key", "reading.reset_text", "reading.reset_hint", "reading.retry_after_ms")

@@ -1,5 +1,8 @@
 """Operators on rows that pin their rules."""
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +267,24 @@ def test_screens(spark):
     assert (got[11].error_key, got[11].retry_after_ms, got[11].model) == ("req_1", 5000, "Large")
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("10:29 PM", "2026-09-01 22:29"), ("3pm", "2026-09-01 15:00"), ("3 p.m.", "2026-09-01 15:00"), ("9:00 AM", "2026-09-02 09:00"), ("9:01am", "2026-09-01 09:01"), ("12 AM", "2026-09-02 00:00"),
+    ("Oct 2, 2026 10:29 PM", "2026-10-02 22:29"), ("Feb 30, 2026 10:29 PM", None), ("Oct 2, 2026 3pm", None), ("13:00 PM", None), ("9:61 AM", None), ("soon", None), ("", None), (None, None)])
+def test_clock_times(spark, text, expected):
+    """The clock shows half a minute past nine; a time that is not after it is tomorrow's."""
+    at = int(datetime(2026, 9, 1, 9, 0, 30, tzinfo=ZoneInfo("Europe/Berlin")).timestamp() * 1000)
+    row = spark.createDataFrame([(text, at)], "text string, at long").select(scalars.next_clock_time(F.col("text"), F.col("at"), "Europe/Berlin").alias("t")).first()
+    assert row.t == (int(datetime.fromisoformat(expected).replace(tzinfo=ZoneInfo("Europe/Berlin")).timestamp() * 1000) if expected else None)
+
+
+def test_screen_keys_and_reset_times(spark):
+    text = "You've hit your usage limit. try again at 10:29 PM.\n› "
+    rows = spark.createDataFrame([("arrow", text, None, "one", 0), ("arrow", text, None, "two", 0), ("arrow", "› ", None, "one", 0)], "layout string, plain string, styled string, program string, at long")
+    one, two, idle = [r.reading for r in screens.classify(rows, harness="program", at="at", zone="UTC").orderBy(F.length("plain").desc(), "program").collect()]
+    assert one.state == two.state == "stalled" and one.error_key != two.error_key
+    assert one.reset_hint == (22 * 60 + 29) * 60_000 and idle.state == "idle" and idle.reset_hint is None and idle.error_key is None
+
+
 def test_scalars(spark):
     urls = {"git@host.com:Org/Repo.git": "host.com/org/repo", "https://u:p@Host.com:8443/org/repo/": "host.com/org/repo", "ssh://git@host/a/b.git": "host/a/b", "/local/path": None, "file:///x": None, "https://host": None, "": None}
     got = {r.u: r.n for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", scalars.normalise_remote(F.col("u")).alias("n")).collect()}
