@@ -60,8 +60,10 @@ SPELLINGS: list[tuple[str, str]] = [
 COPYRIGHT = r"^(?:copyright|all rights reserved|c )(?: |$)"
 #: Texts that may hold a copyright statement.
 _MARKED = r"(?i)copyright|\(c\)|©|all\s+rights\s+reserved|^\W*c\s+\d{4}"
-_LEAD = r"(?:[^\p{L}\p{N}©(\n]|\((?!c\)))*"
-_YEAR = r"(?:\d{4}|[<\[{(]\s*(?:year|yyyy)[^\n>\]})]*[>\]})])"
+#: Signs before a statement. Taken for good, as no statement begins with one: an engine that gives groups back remembers
+#: each, sign by sign, on its stack.
+_LEAD = r"(?:[^\p{L}\p{N}©(\n\r\x85\u2028\u2029]|\((?!c\)))*+"
+_YEAR = r"(?:\d{4}|[<\[{(]\s*+(?:year|yyyy)[^\n<\[{(>\]})]*+[>\]})])"
 #: How what may stand behind a statement on its line begins.
 _BEHIND = (r"(?:permission (?:is hereby|to use)|redistribution and use|licen[cs]ed (?:under|to)|(?:is )?(?:released|distributed|made available|available) under|"
            r"this (?:software|program|library|work|file|source|project|code|document|is)\b|the software is|everyone is permitted|all rights reserved|"
@@ -75,10 +77,12 @@ _HOLDER = rf"[^\n]*?(?:$|(?<!\b(?:inc|ltd|corp|co|jr|sr|dr|st|al|bros|llc|gmbh|\
 STATEMENTS = (
     rf"(?im)^(?:{_LEAD}(?:(?:(?:©|\(c\))[^\S\n]*copyright\b|copyright\b[\s:]*(?:©|\(c\))|©|\(c\){_SIGNED}|c(?=\s+\d{{4}})|copyright\b(?=[\s:,]*{_YEAR})|copyright\b(?=\s*$)|"
     rf"copyright\b(?=\s+by\s|\s+the\s+\p{{L}}+\s*(?:$|authors|contributors|project|team|developers))|copyright\b(?=[^\S\n]+(?-i:\p{{Lu}}))(?!\s+{_PROSE})){_HOLDER}|"
-    rf"{_LEAD}all rights reserved\b[^\p{{L}}\p{{N}}\n]*))+"
+    rf"{_LEAD}all rights reserved\b[^\p{{L}}\p{{N}}\n]*))++"
 )
-#: A dated statement inside a line, if a licence goes on behind it.
-INSIDE = rf"(?im)\bcopyright\b[\s:]*(?:©|\(c\))?\s*{_YEAR}[^\n]*?(?:(?=\s{_BEHIND})|\s+all rights reserved\b[.\s]*)(?:all rights reserved\b[.\s]*)?"
+_DATED = rf"\bcopyright\b[\s:]*(?:©|\(c\))?\s*{_YEAR}"
+#: A dated statement inside a line, if a licence goes on behind it; else the first group has the rest of the line, so that
+#: each line is gone through once, however many statements are in it.
+INSIDE = rf"(?im){_DATED}[^\n]*?(?:(?=\s{_BEHIND})|\s+all rights reserved\b[.\s]*)(?:all rights reserved\b[.\s]*)?|({_DATED}[^\n]*)"
 
 
 def _bare(line: Column) -> Column:
@@ -102,7 +106,7 @@ def _digest(words: Column) -> Column:
 
 def _stated(text: Column) -> Column:
     """The text without its copyright statements."""
-    return F.when(F.regexp_like(text, F.lit(_MARKED)), F.regexp_replace(F.regexp_replace(text, STATEMENTS, " "), INSIDE, " ")).otherwise(text)
+    return F.when(F.regexp_like(text, F.lit(_MARKED)), F.regexp_replace(F.regexp_replace(text, STATEMENTS, " "), INSIDE, "$1 ")).otherwise(text)
 
 
 def _canonical(parts: Column) -> Column:
