@@ -30,8 +30,8 @@ from meterlake.llm.words import frugal, shingles, slices
 LONG, WINDOW = 12, 8
 #: White space, what closes a quotation behind a stop, and stops that need no white space behind them.
 SPACE, CLOSERS, WIDE_STOPS = r"\t-\r ", r"\"'”’»」』）)\]", "。！？"
-#: Where a sentence ends; it carries the white space behind it.
-_END = re.compile(rf"[.!?][{CLOSERS}]*(?:[{SPACE}]+|\Z)|[{WIDE_STOPS}]+[{CLOSERS}]*[{SPACE}]*|[\t\v\f\r ]*\n[{SPACE}]*")
+#: Where a sentence ends; it carries the white space behind it. Blanks before a line's end lie inside the sentence.
+_END = re.compile(rf"[.!?][{CLOSERS}]*(?:[{SPACE}]+|\Z)|[{WIDE_STOPS}]+[{CLOSERS}]*[{SPACE}]*|\n[{SPACE}]*")
 #: The same as one pattern of a sentence that needs no look ahead, for engines without it.
 _WORD = rf"(?:[^{SPACE}{WIDE_STOPS}]*[^{SPACE}{WIDE_STOPS}.!?{CLOSERS}][{CLOSERS}]*|[{CLOSERS}]+)"
 SENTENCE = rf"(?:{_WORD}[\t\v\f\r ]+)*(?:[^{SPACE}{WIDE_STOPS}]*[{WIDE_STOPS}]+[{CLOSERS}]*|[^{SPACE}{WIDE_STOPS}]+)[{SPACE}]*"
