@@ -141,7 +141,7 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns. Options as :func:`exact_groups`. Rows that share
-    identifier and text collapse to one of them."""
+    identifier and text (equal as there) collapse to one of them."""
     normalise = options.get("normalise")
     gone = staged(exact_groups(docs, id_col, text_col, **options).filter(~F.col("kept")), "exact-copies")
     other = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
@@ -149,4 +149,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sha = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
     kept = docs.join(other, docs[id_col].cast("long").eqNullSafe(other["_gone"]) & (sha == other["_sha"]), "left_anti")
     repeated = gone.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    if not repeated:
+        return kept
+    # Equal as the groups have it: null and empty texts, and texts of one normal form.
+    return kept.withColumns({"_dedup_id": F.col(id_col).cast("long"), "_dedup_sha": F.sha2((normalise(text) if normalise else text).cast("binary"), 256)}).dropDuplicates(["_dedup_id", "_dedup_sha"]).drop("_dedup_id", "_dedup_sha")
