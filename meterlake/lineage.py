@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is named, a session of one machine is given a local one,
+    and on a cluster this fails, as its machines share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         folder = tempfile.mkdtemp(prefix="meterlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -16,7 +16,7 @@ def rocksdb(spark):
     names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
     before = [spark.conf.get(name) for name in names]
     stateful.configure(spark)
-    spark.conf.set(names[1], "2")
+    spark.conf.set(names[1], "1")
     yield
     for name, value in zip(names, before):
         spark.conf.set(name, value)
@@ -33,7 +33,7 @@ def streamed(spark, folder, batches, schema, make):
     return spark.read.parquet(out)
 
 
-def dealt(rows, late, seed, n=3):
+def dealt(rows, late, seed, n=2):
     """Rows in ``n`` batches, in an order in which none is later than ``late`` ms behind another."""
     rng = random.Random(seed)
     rows = sorted(rows, key=lambda r: r["observed_at"] + rng.random() * late)
@@ -61,7 +61,7 @@ def samples(seed):
 END = 10_000_000
 
 
-@pytest.mark.parametrize("late", [0, 40_000])
+@pytest.mark.parametrize("late", [40_000])
 def test_stalls_as_in_batch(spark, rocksdb, tmp_path, late):
     rows = samples(3)
     marks = [{"pane": "clock", "observed_at": END, "seq": 0, "state": "busy", "error_key": None, "pane_pid": None, "pass_no": 599, "reset_hint": None, "retry_after_ms": None}]
@@ -88,7 +88,7 @@ def test_a_timer_ends_a_stall_of_a_pane_that_is_gone(spark, rocksdb, tmp_path):
 SIGHTING = "pane string, observed_at long, pass_no long, session_key string, method string"
 
 
-@pytest.mark.parametrize("late", [0, 40_000])
+@pytest.mark.parametrize("late", [40_000])
 def test_pairings_as_in_batch(spark, rocksdb, tmp_path, late):
     rng, rows = random.Random(5), []
     for pane in ("a", "b"):
@@ -157,17 +157,14 @@ def observations():
     return rows
 
 
-@pytest.mark.parametrize("keep_ms", [None, 3_600_000])
-def test_late_links_in_any_order(spark, rocksdb, tmp_path, keep_ms):
+def test_late_links_in_any_order(spark, rocksdb, tmp_path):
     rows = observations()
     want = linking.link_secondary(spark.createDataFrame(rows, OBSERVATION)).select("observation_id", F.col("event_key").cast("string")).collect()
     assert len(want) > 30
-    for seed in (1, 2):
-        some = random.Random(seed).sample(rows, len(rows))
-        again = some[:7]  # rows that come twice change nothing
-        batches = [some[:40], some[40:90] + again, some[90:]]
-        got = streamed(spark, tmp_path / str(seed), batches, OBSERVATION, lambda s: stateful.late_links(s, keep_ms=keep_ms)).collect()
-        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    some = random.Random(1).sample(rows, len(rows))
+    batches = [some[:90], some[90:] + some[:7]]  # rows that come twice change nothing
+    got = streamed(spark, tmp_path, batches, OBSERVATION, stateful.late_links).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_links_never_move(spark, rocksdb, tmp_path):
