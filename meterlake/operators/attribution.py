@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import confidence_rank
+from meterlake.operators.sequences import running_sums, united
+from meterlake.schemas import CONFIDENCE
 
 #: Live evidence still counts so long after its last confirmation.
 LIVE_GRACE_MS = 120_000
+#: Behind every time.
+_EVER = 2**62
 _SUBJECT = ["subject_kind", "subject_id", "dimension"]
 
 
@@ -77,24 +81,49 @@ def account_at(requests: DataFrame, evidence: DataFrame, key: str = "event_key",
     plus a grace, other evidence within its closed bounds. Sessions without any evidence take the
     ``stored`` effective row (session_key, state, value, confidence) if given.
     """
-    e = _canonical(evidence, roots).select(F.col("subject_id").alias("session_key"), "value", "confidence", "validity", "valid_from", "valid_to", "first_observed_at", "last_confirmed_at", "evidence_id")
     asked = requests.select(key, "session_key", "observed_at")
-    live = F.col("validity") == "live"
-    lo = F.when(live, F.col("first_observed_at")).otherwise(F.col("valid_from"))
-    hi = F.when(live, F.col("last_confirmed_at") + LIVE_GRACE_MS).otherwise(F.coalesce("valid_to", F.lit(2**62)))
-    spans = e.withColumn("_lo", lo).withColumn("_hi", hi)
-    valid = asked.join(spans, "session_key").filter((F.col("observed_at") >= F.col("_lo")) & (F.col("observed_at") <= F.col("_hi")))
-    decided = _decide(valid, [key]).drop("evidence_id")
-    some = e.select("session_key").distinct().withColumn("_some", F.lit(True))
-    out = asked.join(decided, key, "left").join(some, "session_key", "left")
+    out = at_request(asked, evidence, roots)
     if stored is not None:
+        some = evidence.select(F.col("subject_id").alias("session_key")).distinct().withColumn("_some", F.lit(True))
         own = stored.select("session_key", F.col("state").alias("_s"), F.col("value").alias("_v"), F.col("confidence").alias("_c"))
-        out = out.join(own, "session_key", "left")
+        out = out.join(some, "session_key", "left").join(own, "session_key", "left")
         for c, s in (("state", "_s"), ("value", "_v"), ("confidence", "_c")):
             out = out.withColumn(c, F.when(F.col("_some").isNull(), F.col(s)).otherwise(F.col(c)))
     return out.select(key, "session_key", F.coalesce("state", F.lit("unattributed")).alias("state"), "value", "confidence")
 
 
+def at_request(requests: DataFrame, evidence: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``requests`` (with ``session_key, observed_at``) with the ``state, value, confidence`` that the evidence on their session has at
+    their time. Evidence without a value says nothing.
+
+    One sweep over requests and the edges of evidence, no join of the two: for each rank of confidence two running
+    sums say how many values hold and, as the sum of their hashes, which one if it is only one. A busy
+    session is spread over days."""
+    columns = [c for c in requests.columns if c not in ("state", "value", "confidence")]
+    live = F.col("validity") == "live"
+    lo = F.when(live, F.col("first_observed_at")).otherwise(F.col("valid_from"))
+    hi = F.when(live, F.col("last_confirmed_at") + LIVE_GRACE_MS).otherwise(F.coalesce("valid_to", F.lit(_EVER - 1)))
+    told = _canonical(evidence, roots).filter("value IS NOT NULL AND subject_id IS NOT NULL")
+    spans = told.select(F.col("subject_id").alias("session_key"), confidence_rank(F.col("confidence")).alias("_rank"), "value", lo.alias("lo"), (hi + 1).alias("hi")).filter("lo < hi")
+    edges = united(spans, ["session_key", "_rank", "value"]).select(
+        "session_key", "_rank", F.xxhash64("value").cast("decimal(20,0)").alias("_id"), F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("n")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("n")))).alias("_e"))
+    ranks = sorted({0, *CONFIDENCE.values()}, reverse=True)
+    counts = {f"_n{r}": F.when(F.col("_rank") == r, F.col("_e.n")).cast("long") for r in ranks} | {f"_s{r}": F.when(F.col("_rank") == r, F.col("_e.n") * F.col("_id")).cast("decimal(20,0)") for r in ranks}
+    edges = edges.filter(F.col("_e.at") < _EVER).select("session_key", F.col("_e.at").alias("_at"), *[x.alias(c) for c, x in counts.items()])
+    can = F.col("session_key").isNotNull() & F.col("observed_at").isNotNull()
+    marks = requests.filter(can).select("session_key", F.col("observed_at").alias("_at"), F.struct(*columns).alias("_row"))
+    swept = running_sums(marks.unionByName(edges, allowMissingColumns=True), ["session_key"], "_at", list(counts)).filter("_row IS NOT NULL")
+    best = F.coalesce(*[F.when(F.col(f"_n{r}_so_far") > 0, F.struct(F.col(f"_n{r}_so_far").alias("n"), F.col(f"_s{r}_so_far").alias("id"), F.lit({v: k for k, v in CONFIDENCE.items()}.get(r)).cast("string").alias("confidence"))) for r in ranks])
+    found = swept.select("_row", best.alias("_best"))
+    one = F.when(F.col("_best.n") == 1, F.col("_best.id").cast("long"))
+    names = spans.select(F.xxhash64("value").alias("_id"), "value").distinct()
+    named = found.withColumn("_id", one).join(names, "_id", "left")
+    state = F.when(F.col("_best").isNull(), "unattributed").when(F.col("_best.n") == 1, "attributed").otherwise("ambiguous")
+    known = named.select("_row.*", state.alias("state"), "value", F.col("_best.confidence").alias("confidence"))
+    none = requests.filter(~can).select(*columns, F.lit("unattributed").alias("state"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("confidence"))
+    return known.unionByName(none)
+
+
 def effective(events: DataFrame, own: DataFrame, session: DataFrame, evidence: DataFrame, dimension: str, key: str = "event_key") -> DataFrame:
     """``key, state, value`` of each event: its own attribution if it has evidence, else its session's."""
     mine = own.filter(F.col("dimension") == dimension).select(F.col("subject_id").alias(key), F.col("state").alias("_os"), F.col("value").alias("_ov"))

@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.operators.sequences import running_sums
+
 #: Names the rule by which estimates are made; a change to the rule takes the next number.
 ESTIMATOR_VERSION = 1
 
 
-def running_sums(rows: DataFrame, key: list[str], at: str, value: str, bucket_ms: int) -> DataFrame:
-    """``rows`` with ``so_far``: the sum of ``value`` over all rows of the key up to and at their time.
-
-    Sums of whole buckets of time run over buckets; rows are ordered inside their bucket only, so a busy key
-    is spread over its buckets."""
-    n, slot = F.coalesce(F.col(value), F.lit(0)), F.floor(F.col(at) / bucket_ms)
-    slotted = rows.withColumn("_slot", slot)
-    sums = slotted.groupBy(*key, "_slot").agg(F.sum(n).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
-    inside = slotted.withColumn("_inside", F.sum(n).over(Window.partitionBy(*key, "_slot").orderBy(at)))
-    return inside.join(before, [*key, "_slot"]).withColumn("so_far", F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_slot", "_inside", "_before")
-
-
 def reading_pairs(readings: DataFrame, usage: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
     """``account, window, resets_at, from_at, to_at, from_pct, to_pct, tokens``: each reading of an instance of a window and the one after
     it (``to_`` columns null for the last one), with the account's tokens after the first and up to the second,
@@ -33,7 +22,7 @@ def reading_pairs(readings: DataFrame, usage: DataFrame, bucket_ms: int = 86_400
     known = readings.filter("account IS NOT NULL AND used_pct IS NOT NULL").groupBy("account", "window", "resets_at", "observed_at").agg(F.max("used_pct").alias("used_pct"))
     marks = known.select("account", "observed_at", F.struct("window", "resets_at", "used_pct").alias("_r"), F.lit(None).cast("long").alias("tokens"))
     spent = usage.filter("account IS NOT NULL").select("account", "observed_at", F.lit(None).cast(marks.schema["_r"].dataType).alias("_r"), F.col("tokens").cast("long").alias("tokens"))
-    swept = running_sums(marks.unionByName(spent), ["account"], "observed_at", "tokens", bucket_ms)
+    swept = running_sums(marks.unionByName(spent), ["account"], "observed_at", ["tokens"], bucket_ms).withColumnRenamed("tokens_so_far", "so_far")
     whole = spent.groupBy("account").agg(F.sum("tokens").alias("_whole"))
     read = swept.filter("_r IS NOT NULL").select("account", "_r.*", "observed_at", "so_far")
     w = Window.partitionBy("account", "window", "resets_at").orderBy("observed_at")

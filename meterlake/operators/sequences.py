@@ -78,6 +78,30 @@ def peak_concurrency(intervals: DataFrame, group: list[str], start: str, end: st
     return joined.select(*[F.col(f"t.{c}") for c in [*group, "at"]], n.alias("n")).groupBy(*group).agg(F.max("n").alias("peak"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("at"))
 
 
+def running_sums(rows: DataFrame, key: list[str], at: str, values: list[str], bucket_ms: int = 86_400_000) -> DataFrame:
+    """``rows`` with ``<value>_so_far`` for each of ``values``: its sum over all rows of the key up to and at their time.
+
+    Sums of whole buckets of time run over buckets; rows are ordered inside their bucket only, so a busy key
+    is spread over its buckets. Rows without a time are left out; key columns must not be null."""
+    n = {v: F.coalesce(F.col(v), F.lit(0)) for v in values}
+    slotted = rows.filter(F.col(at).isNotNull()).withColumn("_slot", F.floor(F.col(at) / bucket_ms))
+    sums = slotted.groupBy(*key, "_slot").agg(*[F.sum(x).alias(f"_{v}_sum") for v, x in n.items()])
+    earlier = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*key, "_slot", *[F.sum(f"_{v}_sum").over(earlier).alias(f"_{v}_before") for v in values])
+    inside = slotted.select("*", *[F.sum(x).over(Window.partitionBy(*key, "_slot").orderBy(at)).alias(f"_{v}_inside") for v, x in n.items()])
+    joined = inside.join(before, [*key, "_slot"])
+    return joined.select(*rows.columns, *[(F.col(f"_{v}_inside") + F.coalesce(f"_{v}_before", F.lit(0))).alias(f"{v}_so_far") for v in values])
+
+
+def united(intervals: DataFrame, group: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """The disjoint intervals that a group's intervals cover together; touching ones become one."""
+    w = Window.partitionBy(*group).orderBy(lo, hi)
+    reached = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.withColumn("_new", F.when(reached.isNull() | (F.col(lo) > reached), 1).otherwise(0))
+    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*group, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+
 def login_evidence(sightings: DataFrame, logins: DataFrame, series: str = "state_file", method: str = "state_file", source: str = "login") -> DataFrame:
     """Live, inferred account evidence of live sessions from the login that their machine shows.
 

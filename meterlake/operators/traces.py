@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.lineage import cut
+from meterlake.operators.sequences import united
 
 _SPAN = ["trace_id", "span_id"]
 
@@ -72,15 +73,6 @@ def self_times(spans: DataFrame, slices: int = 64) -> DataFrame:
     return timed.join(covered, _SPAN, "left").select(*_SPAN, length.alias("duration_ms"), child.alias("child_ms"), (length - child).alias("self_ms"))
 
 
-def united(intervals: DataFrame, group: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """The disjoint intervals that a group's intervals cover together; touching ones become one."""
-    w = Window.partitionBy(*group).orderBy(lo, hi)
-    reached = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("_new", F.when(reached.isNull() | (F.col(lo) > reached), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*group, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
-
-
 def rollup(spans: DataFrame) -> DataFrame:
     """One row for each trace: its root (of several the one that starts first, then the least id), services, start,
     duration (from the first start to the last end; null if no span has ended), spans, errors, spans whose

@@ -70,9 +70,8 @@ def _attributed(scope: DataFrame, by: str, effective: DataFrame, evidence: DataF
         told = told.withColumn("state", F.when(F.col("_own"), F.coalesce("_os", F.lit("unattributed"))).otherwise(F.col("state"))).withColumn("value", F.when(F.col("_own"), F.col("_ov")).otherwise(F.col("value"))).drop("_id", "_os", "_ov", "_has")
     if by == "account":
         open_ = ~F.col("_own") & (F.col("state") == "ambiguous")
-        asked = told.filter(open_).drop("state", "value")
-        at_time = attribution.account_at(asked, of(evidence, "session"), roots=roots).select("event_key", "state", "value")
-        told = told.filter(~open_).unionByName(asked.join(at_time, "event_key"))
+        at_time = attribution.at_request(told.filter(open_), of(evidence, "session"), roots)
+        told = told.filter(~open_).unionByName(at_time.drop("confidence"))
     told = told.withColumn("value", F.when(F.col("state") == "attributed", F.col("value")))
     partial = told.groupBy("state", "value").agg(*measures.usage_measures())
     if by == "account" and roots is not None:

@@ -16,10 +16,10 @@ NOTICE_RESET = r"(?i)\blimit (?:has )?reset\b"
 NOTICE_AT = r"(?i)\b(?:at|resets)\s+(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\b"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every ``*.jsonl`` below a path, with file and line order. The order is taken on the
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """Lines of every file below a path whose name fits ``glob``, with file and line order. The order is taken on the
     scan itself, before any shuffle: a file's splits in turn, then the rows of a split."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     return raw.select("value", F.col("_metadata.file_path").alias("file"),
                       F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"))
 
