@@ -48,7 +48,7 @@ def estimates(pairs: DataFrame, now_ms: int) -> DataFrame:
     last = pairs.filter("to_at IS NULL").filter(F.col("resets_at") > now_ms)
     joined = last.join(ratios(pairs), ["account", "window"], "left")
     return joined.select("account", "window", "resets_at", F.col("from_at").alias("anchor_at"), F.col("from_pct").alias("anchor_pct"), "tokens",
-                         F.least(F.lit(100.0), F.col("from_pct") + F.col("tokens") * F.col("pct_per_token")).alias("estimate_pct"), (F.col("tokens") * F.col("spread")).alias("error_pct"),
+                         F.when(F.col("pct_per_token").isNotNull(), F.least(F.lit(100.0), F.col("from_pct") + F.col("tokens") * F.col("pct_per_token"))).alias("estimate_pct"), (F.col("tokens") * F.col("spread")).alias("error_pct"),
                          "calibrated_at", F.when(F.col("pct_per_token").isNotNull(), F.lit(ESTIMATOR_VERSION)).alias("estimator_version"))
 
 

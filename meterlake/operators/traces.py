@@ -83,9 +83,9 @@ def rollup(spans: DataFrame) -> DataFrame:
         F.min(F.when(is_root, F.struct("start_ms", "span_id", "name"))).alias("_root"), F.sort_array(F.collect_set("service")).alias("_services"), F.min("start_ms").alias("start_ms"),
         (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"), F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if("missing").alias("missing_parents"),
         F.count_if(is_root).alias("roots"), F.max("depth").alias("depth"))
-    paths = placed.filter("critical").groupBy("trace_id", F.col("root_id").alias("_r")).agg(F.count("*").alias("critical_spans"), F.sum("self_ms").alias("critical_self_ms"))
+    paths = placed.filter("critical").groupBy(F.col("trace_id").alias("_t"), F.col("root_id").alias("_r")).agg(F.count("*").alias("critical_spans"), F.sum("self_ms").alias("critical_self_ms"))
     named = whole.select("trace_id", F.col("_root.span_id").alias("root_id"), F.col("_root.name").alias("root_name"), F.concat_ws(",", "_services").alias("services"), "start_ms", "duration_ms", "spans", "errors", "missing_parents", "roots", "depth")
-    return named.join(paths, (named["trace_id"] == paths["trace_id"]) & (named["root_id"] == paths["_r"]), "left").drop(paths["trace_id"]).drop("_r")
+    return named.join(paths, (F.col("trace_id") == F.col("_t")) & (F.col("root_id") == F.col("_r")), "left").drop("_t", "_r")
 
 
 def errors(spans: DataFrame, logs: DataFrame, severe: int = 17) -> DataFrame:

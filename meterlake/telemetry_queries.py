@@ -242,7 +242,7 @@ def reading_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PAIRS}, t AS (SELECT max(observed_at) AS now FROM events_)
-    SELECT p.account, p."window", resets_at, from_at AS anchor_at, from_pct AS anchor_pct, tokens, round(least(100, from_pct + tokens * ratio), 6) AS estimate_pct, round(tokens * spread, 6) AS error_pct, calibrated_at,
+    SELECT p.account, p."window", resets_at, from_at AS anchor_at, from_pct AS anchor_pct, tokens, CASE WHEN ratio IS NOT NULL THEN round(least(100, from_pct + tokens * ratio), 6) END AS estimate_pct, round(tokens * spread, 6) AS error_pct, calibrated_at,
            CASE WHEN ratio IS NOT NULL THEN 1 END AS estimator_version
     FROM pairs p LEFT JOIN middle m ON m.account = p.account AND m."window" = p."window" LEFT JOIN spread s ON s.account = p.account AND s."window" = p."window", t WHERE to_at IS NULL AND resets_at > now""")
 def quota_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:

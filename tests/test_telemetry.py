@@ -249,6 +249,7 @@ def test_a_failing_batch_gives_its_row(spark, tmp_path):
         stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
 
         def sink(batch, number):
+            batch.collect()
             if number == 1:
                 raise KeyError("secret 4711")
 
