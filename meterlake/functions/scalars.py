@@ -184,6 +184,23 @@ def age_text(seconds: Column) -> Column:
     )
 
 
+def until_text(ms: Column, now: Column) -> Column:
+    """How long until a time: days and hours, hours and minutes, minutes; ``now`` if it has come, empty if it is unknown."""
+    s = F.floor((ms - now) / 1000).cast("long")
+    minutes, hours = F.floor(s / 60).cast("long") % 60, F.floor(s / 3600).cast("long")
+    return (
+        F.when(ms.isNull(), "").when(s <= 0, "now").when(hours >= 24, F.format_string("%dd%dh", F.floor(hours / 24).cast("long"), hours % 24))
+        .when(hours > 0, F.format_string("%dh%02dm", hours, minutes)).otherwise(F.format_string("%dm", minutes))
+    )
+
+
+def clock_text(ms: Column, now: Column, zone: str = "UTC") -> Column:
+    """A time on a zone's clock, with the day of the week if it is not today; ``-`` if it is unknown."""
+    at = local_time(ms, zone)
+    here = F.to_date(at) == F.to_date(local_time(now, zone))
+    return F.when(ms.isNull(), "-").when(here, F.date_format(at, "HH:mm")).otherwise(F.date_format(at, "EEE HH:mm"))
+
+
 def parse_since(text: str, now_ms: int) -> int:
     """``24h``, ``7d``, ``30m``, ``90s``, ``2w`` before now, or an ISO time, as milliseconds."""
     if found := re.fullmatch(r"(\d+)([smhdw])", text.strip()):

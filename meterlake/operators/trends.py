@@ -39,6 +39,18 @@ def burn_rate(samples: DataFrame, series: list[str]) -> DataFrame:
     return samples.withColumn("pct_per_hour", rate).withColumn("hours_left", F.when(F.col("pct_per_hour") > 0, (100 - F.col("used_pct")) / F.col("pct_per_hour")))
 
 
+def burn_alerts(samples: DataFrame, series: list[str], now_ms: int, least_pct_per_hour: float = 0.0) -> DataFrame:
+    """``series, observed_at, used_pct, resets_at, pct_per_hour, hours_left, hours_to_reset``: running instances of which, at the pace
+    between their last two readings, nothing is left before they reset. Without a reset time, a pace of at least
+    ``least_pct_per_hour`` or a second reading nothing is said."""
+    paced = burn_rate(samples, series)
+    value = F.struct("observed_at", "used_pct", "resets_at", "pct_per_hour", "hours_left")
+    newest = paced.groupBy(*series).agg(F.max_by(value, "observed_at").alias("_v")).select(*series, "_v.*")
+    to_reset = (F.col("resets_at") - now_ms) / 3_600_000
+    left = newest.filter((F.col("resets_at") > now_ms) & (F.col("pct_per_hour") > least_pct_per_hour)).withColumn("hours_to_reset", to_reset)
+    return left.filter(F.col("hours_left") - (F.lit(now_ms) - F.col("observed_at")) / 3_600_000 < F.col("hours_to_reset"))
+
+
 def largest_drop(samples: DataFrame, series: list[str], max_age_ms: int) -> DataFrame:
     """The largest fall of what is left between two readings of a window instance no further apart than
     ``max_age_ms``."""

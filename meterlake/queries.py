@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import bindings as b
-from meterlake import file_queries, log_queries, rule_queries, telemetry_queries  # noqa: F401  (they register their queries)
+from meterlake import file_queries, log_queries, option_queries, rule_queries, telemetry_queries  # noqa: F401  (they register their queries)
 from meterlake.functions import scalars, screens
 from meterlake.lineage import cut
 from meterlake.operators import attribution, counting, identity, linking, measures, paths, quality, sequences, trends, upserts
