@@ -151,5 +151,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = gone.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
     if not repeated:
         return kept
-    # Equal as the groups have it: null and empty texts, and texts of one normal form.
-    return kept.withColumns({"_dedup_id": F.col(id_col).cast("long"), "_dedup_sha": F.sha2((normalise(text) if normalise else text).cast("binary"), 256)}).dropDuplicates(["_dedup_id", "_dedup_sha"]).drop("_dedup_id", "_dedup_sha")
+    # Equal as the groups have it: null and empty texts, and texts of one normal form. The names can clash with no column.
+    names = [f"_{n}{'_' * max(map(len, kept.columns))}" for n in ("id", "sha")]
+    same = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
+    return kept.withColumns(dict(zip(names, (F.col(id_col).cast("long"), same), strict=True))).dropDuplicates(names).drop(*names)
