@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.lineage import cut
@@ -55,6 +55,35 @@ def assert_aliases(sightings: DataFrame, registry: DataFrame, roots: DataFrame,
     return out, joined.filter(clash).select(*alias, "asserted_by")
 
 
+#: What a value begins with that names an alias in place of an account: ``alias:<provider>:<kind>:<hash>``. A fixed value.
+ALIAS_PREFIX = "alias:"
+
+
+def alias_value(provider: Column, kind: Column, digest: Column) -> Column:
+    """An account as a source can name it: by an alias. Null without any of the parts."""
+    return F.concat(F.lit(ALIAS_PREFIX), provider, F.lit(":"), kind, F.lit(":"), digest)
+
+
+def resolve_alias_values(evidence: DataFrame, registry: DataFrame, roots: DataFrame, secret: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Account evidence with the accounts that its alias values mean, the registry with these aliases asserted, and
+    the evidence that was refused because its alias belongs to several accounts.
+
+    A value ``alias:<provider>:<kind>:<hash>`` (the hash may hold colons) becomes the account of its alias, whose kind in the
+    registry is ``provider:kind``; an alias that is not known makes a new account. Other values, other dimensions and
+    values with fewer parts stay as they are."""
+    part = F.split("value", ":", 4)
+    is_alias = (F.col("dimension") == "account") & F.col("value").startswith(ALIAS_PREFIX) & (F.size(part) == 4)
+    told = evidence.filter(is_alias).withColumn("alias_kind", F.concat_ws(":", part[1], part[2])).withColumn("alias_hash", part[3])
+    seen = told.select("alias_kind", "alias_hash", F.lit("reported").alias("asserted_by"), F.col("last_confirmed_at").alias("seen_at"))
+    out, refused = assert_aliases(seen, registry, roots, secret)
+    known = out.filter("asserted_by = 'reported' AND revoked_at IS NULL").join(roots.select(F.col("node").alias("account_key"), "root"), "account_key", "left")
+    account = known.groupBy("alias_kind", "alias_hash").agg(F.min(F.coalesce("root", "account_key")).alias("_account"))
+    bad = refused.select("alias_kind", "alias_hash").distinct()
+    good = told.join(bad, ["alias_kind", "alias_hash"], "left_anti").join(account, ["alias_kind", "alias_hash"])
+    resolved = good.withColumn("value", F.col("_account")).select(evidence.columns)
+    return evidence.filter(~F.coalesce(is_alias, F.lit(False))).unionByName(resolved), out, told.join(bad, ["alias_kind", "alias_hash"], "left_semi").select(evidence.columns)
+
+
 def least_connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root`` of every node of an edge but the roots: the least node that it is connected with. In
     each round every node hands its least neighbour to its larger ones, then to its smaller ones, until

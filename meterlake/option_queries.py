@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake import bindings as b
 from meterlake.functions import scalars
-from meterlake.operators import attribution, trends, upserts
+from meterlake.operators import attribution, identity, trends, upserts
 from meterlake.plans import capacity, usage
 from meterlake.registry import query
 
@@ -85,3 +85,20 @@ def burn_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = rows.agg(F.max("observed_at")).first()[0] or 0
     found = trends.burn_alerts(rows, ["stream_key", "window"], now)
     return found.select("stream_key", "window", "observed_at", "used_pct", "resets_at", F.round("pct_per_hour", 6).alias("pct_per_hour"))
+
+
+@query(f"""WITH {b.EVENTS}, e AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN 'acct' || (v % 4) ELSE 'alias:p' || (k % 2) || ':login:h' || (user_id % 30) || ':x' END AS value, CASE WHEN k % 10 = 3 THEN 'branch' ELSE 'account' END AS dimension,
+        'p' || (k % 2) || ':login' AS kind, 'h' || (user_id % 30) || ':x' AS hash FROM events_),
+    registry AS (SELECT 'p0:login' AS kind, 'h' || i || ':x' AS hash, 'known' || (i // 2) AS account FROM range(10) t(i) UNION ALL SELECT 'p0:login', 'h4:x', 'known9'),
+    accounts AS (SELECT kind, hash, count(DISTINCT root) AS n, min(root) AS root FROM (SELECT kind, hash, CASE WHEN account = 'known1' THEN 'known0' ELSE account END AS root FROM registry) GROUP BY ALL)
+    SELECT event_id, dimension, CASE WHEN dimension <> 'account' OR NOT starts_with(value, 'alias:') THEN value ELSE coalesce(a.root, substr(sha256('s' || chr(31) || e.kind || chr(31) || e.hash), 1, 32)) END AS value
+    FROM e LEFT JOIN accounts a ON a.kind = e.kind AND a.hash = e.hash WHERE dimension <> 'account' OR NOT starts_with(value, 'alias:') OR coalesce(n, 1) = 1""")
+def resolve_alias_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some aliases are known, one of them to two accounts that are not merged, and refused; the others make accounts."""
+    e, k = b.events(spark, sf_dir), F.col("k")
+    alias = identity.alias_value(F.concat(F.lit("p"), k % 2), F.lit("login"), F.concat(F.lit("h"), F.col("user_id") % 30, F.lit(":x")))
+    evidence = e.select("event_id", F.when(k % 10 == 3, "branch").otherwise("account").alias("dimension"), F.when(k % 4 == 0, F.concat(F.lit("acct"), F.col("v") % 4)).otherwise(alias).alias("value"), F.col("observed_at").alias("last_confirmed_at"))
+    registry = spark.sql("""SELECT 'p0:login' AS alias_kind, concat('h', id, ':x') AS alias_hash, 'reported' AS asserted_by, concat('known', id DIV 2) AS account_key, 0L AS last_confirmed, CAST(NULL AS LONG) AS revoked_at FROM range(10)
+                            UNION ALL SELECT 'p0:login', 'h4:x', 'reported', 'known9', 0L, NULL""")
+    roots = spark.sql("SELECT 'known1' AS node, 'known0' AS root UNION ALL SELECT 'known0', 'known0'")
+    return identity.resolve_alias_values(evidence, registry, roots, "s")[0].select("event_id", "dimension", "value")

@@ -1,112 +1,39 @@
-"""Streaming jobs: keyed tables that take batches, stalls as they begin, alerts that fire once.
+"""Streaming writes: rows are appended exactly once by Spark's own file sink, and the current rows of a keyed table are
+one reduction over what was appended.
 
-No counted row is ever dropped for being late: writes are keyed, so an old batch merges as a new one
-does, and a batch that is run again replaces itself.
+No counted row is ever dropped for being late: an old batch merges as a new one does, as the rule that reduces
+the rows looks at what they say and not at when they came.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterlake.operators.upserts import upsert_by_rule, upsert_coalesce
-from meterlake.plans.capacity import threshold_alerts
-
-
-class KeyedTable:
-    """Keyed rows as the plain Parquet folders that batches were written to; the current rows are those
-    reduced by the table's rule. A batch that fails while it is written is run again by the stream and
-    replaces what it left."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], rule: str = "coalesce", always: tuple[str, ...] = ()) -> None:
-        self.spark, self.path, self.schema, self.keys, self.rule, self.always = spark, path, schema, keys, rule, always
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        """Write a batch; the same number again replaces it."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, batch long").option("basePath", self.path).parquet(f"{self.path}/batch=*")
-
-    def current(self) -> DataFrame:
-        rows = self._stored()
-        columns = [c for c in rows.columns if c != "batch"]
-        ranked = rows.select(*columns, F.col("batch").alias("_seq"))
-        none = rows.select(*columns).limit(0)
-        if self.rule == "coalesce":
-            return upsert_coalesce(none, ranked, self.keys, "_seq", self.always)
-        return upsert_by_rule(none, ranked, self.keys, self.rule, "_seq")
-
-    def compact(self, path: str) -> KeyedTable:
-        """The current rows as one batch of a fresh table, to which readers and writers may turn once it is
-        written; later batches go on from the newest number."""
-        newest = self._stored().agg(F.max("batch")).first()[0]
-        table = KeyedTable(self.spark, path, self.schema, self.keys, self.rule, self.always)
-        table.write(self.current(), newest or 0)
-        return table
-
-    def sink(self, make: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-        """A function for ``foreachBatch``. A failing batch writes nothing and is run again."""
 
-        def write(batch: DataFrame, number: int) -> None:
-            self.write(make(batch) if make else batch, number)
 
-        return write
-
-
-def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start a stream into a sink; ``once`` takes what is there and ends."""
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+def append(stream: DataFrame, path: str, checkpoint: str, name: str | None = None, once: bool = True) -> StreamingQuery:
+    """Append a stream's rows to Parquet files. A batch is seen as a whole or not at all, and one that is run again
+    replaces itself, by the sink's own log; ``once`` takes what is there and ends."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-_ONSETS = "pane string, onset long, error_key string, pane_pid long, resets_at long"
-_STATE = "error_key string, pane_pid long, onset long"
-
-
-def _onsets(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    error, pid, onset = state.get if state.exists else (None, None, None)
-    out = []
-    for row in pd.concat(list(frames)).sort_values(["observed_at", "seq"]).itertuples():
-        known, process = None if pd.isna(row.error_key) else row.error_key, None if pd.isna(row.pane_pid) else int(row.pane_pid)
-        if row.state is None or row.state == "unknown":
-            continue
-        if row.state != "stalled":
-            error, pid, onset = None, None, None
-        elif onset is None or (known, process) != (error, pid):
-            error, pid, onset = known, process, int(row.observed_at)
-            hint = row.reset_hint if pd.notna(row.reset_hint) else onset + row.retry_after_ms if pd.notna(row.retry_after_ms) else None
-            out.append((key[0], onset, error, pid, hint))
-    if onset is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((error, pid, onset))
-    yield pd.DataFrame(out, columns=["pane", "onset", "error_key", "pane_pid", "resets_at"]).astype({"onset": "int64", "pane_pid": "Int64", "resets_at": "Int64"})
-
-
-def stall_onsets(samples: DataFrame) -> DataFrame:
-    """A row for each stall as it begins. State is one small row for each pane that is in a stall, and
-    goes when the stall ends."""
-    return samples.groupBy("pane").applyInPandasWithState(_onsets, _ONSETS, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def alert_sink(spark: SparkSession, path: str, now_ms: Callable[[], int], thresholds: tuple[int, ...] = (20, 5)) -> Callable[[DataFrame, int], None]:
-    """A sink for batches of anchors: alerts and the fired log, so that each threshold of a window
-    instance fires once. A batch that is run again sees the log without its own part."""
-    fired_path, alerts_path = f"{path}/fired", f"{path}/alerts"
-    schema = "account string, window string, resets_at long, threshold int"
+def current(appended: DataFrame, keys: list[str], seq: str, rule: str = "coalesce", always: tuple[str, ...] = ()) -> DataFrame:
+    """The current rows of what was appended: ``coalesce`` (a later null erases nothing, but in the columns of ``always``),
+    ``replace`` or ``max_output``; ``seq`` is the column that orders the rows of a key."""
+    rows = appended if seq == "seq" else appended.withColumnRenamed(seq, "seq")
+    none = rows.drop("seq").limit(0)
+    return upsert_coalesce(none, rows, keys, "seq", always) if rule == "coalesce" else upsert_by_rule(none, rows, keys, rule)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{fired_path}/batch=-1")
-        log = spark.read.schema(f"{schema}, batch long").option("basePath", fired_path).parquet(f"{fired_path}/batch=*").filter(F.col("batch") < number).drop("batch")
-        alerts, fired = threshold_alerts(batch, now_ms(), thresholds, log)
-        alerts.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
-        fired.write.mode("overwrite").parquet(f"{fired_path}/batch={number}")
 
-    return write
+def compacted(spark: SparkSession, path: str, into: str, keys: list[str], seq: str) -> DataFrame:
+    """The newest whole row of each key of ``path``, written to a fresh path, from which a table whose rule is ``replace``
+    may go on; readers of the old path are not disturbed."""
+    rows = spark.read.parquet(path)
+    value = [c for c in rows.columns if c not in keys]
+    rows.groupBy(*keys).agg(F.max_by(F.struct(*value), seq).alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in value]).write.parquet(into)
+    return spark.read.parquet(into)

@@ -3,62 +3,32 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
-from meterlake import bindings
-from meterlake.operators import sequences
 from meterlake.sources import tail
 from meterlake.streaming import jobs
 
-DATA = "/root/testdata/sf0.001"
 
+def appended(spark, tmp_path, batches, schema):
+    """What a stream appends that takes the batches one after the other, started again for each."""
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        jobs.append(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "table").awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
 
-def test_keyed_table_is_idempotent(spark, tmp_path):
-    table = jobs.KeyedTable(spark, str(tmp_path / "t"), "k long, name string, output_tokens long", ["k"])
-    one = spark.createDataFrame([(1, "a", 5), (2, None, 1)], table.schema)
-    two = spark.createDataFrame([(1, None, 7), (3, "c", None)], table.schema)
-    table.write(one, 0)
-    table.write(two, 1)
-    table.write(two, 1)
-    assert sorted(map(tuple, table.current().collect())) == [(1, "a", 7), (2, None, 1), (3, "c", None)]
 
-
-def test_compaction_keeps_the_current_rows(spark, tmp_path):
-    table = jobs.KeyedTable(spark, str(tmp_path / "t"), "k long, name string, output_tokens long", ["k"])
-    for n, rows in enumerate([[(1, "a", 5)], [(1, None, 7), (2, "b", 1)]]):
-        table.write(spark.createDataFrame(rows, table.schema), n)
-    small = table.compact(str(tmp_path / "u"))
-    small.write(spark.createDataFrame([(2, None, 9)], table.schema), 2)
-    assert sorted(map(tuple, small.current().collect())) == [(1, "a", 7), (2, "b", 9)] and len(os.listdir(tmp_path / "u")) == 2
+def test_appended_rows_make_a_keyed_table(spark, tmp_path):
+    schema = "k long, at long, name string, output_tokens long"
+    rows = appended(spark, tmp_path, [[(1, 1, "a", 5), (2, 1, None, 1)], [(1, 2, None, 7), (3, 2, "c", None)]], schema)
+    assert rows.count() == 4
+    assert sorted(map(tuple, jobs.current(rows, ["k"], "at").select("k", "name", "output_tokens").collect())) == [(1, "a", 7), (2, None, 1), (3, "c", None)]
+    small = jobs.compacted(spark, str(tmp_path / "out"), str(tmp_path / "small"), ["k"], "at")
+    assert sorted(map(tuple, small.select("k", "at", "name", "output_tokens").collect())) == [(1, 2, None, 7), (2, 1, None, 1), (3, 2, "c", None)]
 
 
 def test_max_output_never_regresses(spark, tmp_path):
-    table = jobs.KeyedTable(spark, str(tmp_path / "t"), "k long, name string, output_tokens long", ["k"], "max_output")
-    table.write(spark.createDataFrame([(1, "large", 120)], table.schema), 0)
-    table.write(spark.createDataFrame([(1, "late and small", 2)], table.schema), 1)
-    assert [tuple(r) for r in table.current().collect()] == [(1, "large", 120)]
-
-
-def test_stall_onsets_match_batch(spark, tmp_path):
-    rows = bindings.states(spark, DATA).withColumn("pane", F.col("pane").cast("string"))
-    for i in range(3):
-        rows.filter((F.col("seq") >= i * 400) & (F.col("seq") < (i + 1) * 400 if i < 2 else F.lit(True))).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
-    whole = sequences.stalls(rows.orderBy("seq"))
-    wanted = {(r.pane, r.onset, r.error_key) for r in whole.collect()}
-    table = jobs.KeyedTable(spark, str(tmp_path / "out"), "pane string, onset long, error_key string, pane_pid long, resets_at long", ["pane", "onset"])
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    jobs.run(jobs.stall_onsets(stream), table.sink(), str(tmp_path / "cp")).awaitTermination()
-    assert {(r.pane, r.onset, r.error_key) for r in table.current().collect()} >= {w for w in wanted if w[1] == min(x[1] for x in wanted if x[0] == w[0])}
-
-
-def test_alerts_fire_once(spark, tmp_path):
-    row = lambda left: spark.createDataFrame([("a", "session", left, 9_000, "s", 10, "k", True)], "account string, window string, remaining_pct double, resets_at long, source string, observed_at long, stream_key string, fresh boolean")
-    sink = jobs.alert_sink(spark, str(tmp_path), lambda: 100)
-    for n, left in enumerate([15.0, 12.0, 4.0, 4.0]):
-        sink(row(left), n)
-    sink(row(12.0), 1)  # run again
-    got = spark.read.option("basePath", str(tmp_path / "alerts")).parquet(str(tmp_path / "alerts" / "batch=*")).select("batch", "threshold").collect()
-    assert sorted(map(tuple, got)) == [(0, 20), (2, 5)]
+    rows = appended(spark, tmp_path, [[(1, 1, "large", 120)], [(1, 2, "late and small", 2)]], "k long, seq long, name string, output_tokens long")
+    assert [tuple(r) for r in jobs.current(rows, ["k"], "seq", "max_output").select("name", "output_tokens").collect()] == [("large", 120)]
 
 
 def test_tail_waits_for_whole_lines_and_restarts(spark, tmp_path):
