@@ -49,13 +49,14 @@ OBSERVATIONS = f"""{EVENTS}, obs AS (
 
 
 def evidence(spark: SparkSession, sf_dir: str, dimension: str = "account") -> DataFrame:
-    """Session evidence of an account or a branch, in the order of events."""
+    """Session evidence of an account, a branch or a billing route, in the order of events."""
     e = events(spark, sf_dir)
     rank = F.col("k") % 3
     live = F.col("event_type") == "error"
+    value = F.when(F.col("v") % 4 < 3, "api_key").otherwise("subscription") if dimension == "billing_route" else F.concat(F.lit("acct" if dimension == "account" else "branch"), F.col("v") % 4)
     return e.select(
         F.lit("session").alias("subject_kind"), F.concat(F.lit("s:"), F.col("user_id"), F.lit(":"), F.col("k") % 5).alias("subject_id"), F.lit(dimension).alias("dimension"),
-        F.concat(F.lit("acct" if dimension == "account" else "branch"), F.col("v") % 4).alias("value"), F.concat(F.lit("by-"), F.col("event_type")).alias("method"), F.lit("events").alias("source"),
+        value.alias("value"), F.concat(F.lit("by-"), F.col("event_type")).alias("method"), F.lit("events").alias("source"),
         F.when(rank == 0, "authoritative").when(rank == 1, "observed").otherwise("inferred").alias("confidence"), F.when(live, "live").otherwise("historical").alias("validity"),
         F.when(F.col("event_type") == "signup", 0).otherwise(F.col("observed_at")).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"),
         F.col("observed_at").alias("first_observed_at"), (F.col("observed_at") + F.when(live, 86_400_000).otherwise(0)).cast("long").alias("last_confirmed_at"), F.col("event_id").alias("arrival_seq"))
@@ -63,8 +64,9 @@ def evidence(spark: SparkSession, sf_dir: str, dimension: str = "account") -> Da
 
 def evidence_sql(dimension: str = "account") -> str:
     """``ev``: evidence, and ``windows``: the same with its windows closed."""
+    value = "CASE WHEN v % 4 < 3 THEN 'api_key' ELSE 'subscription' END" if dimension == "billing_route" else f"'{'acct' if dimension == 'account' else 'branch'}' || (v % 4)"
     return f"""ev AS (
-    SELECT 's:' || user_id || ':' || (k % 5) AS subject_id, '{"acct" if dimension == "account" else "branch"}' || (v % 4) AS value, 'by-' || event_type AS method,
+    SELECT 's:' || user_id || ':' || (k % 5) AS subject_id, {value} AS value, 'by-' || event_type AS method,
            CASE k % 3 WHEN 0 THEN 'authoritative' WHEN 1 THEN 'observed' ELSE 'inferred' END AS confidence, CASE WHEN event_type = 'error' THEN 'live' ELSE 'historical' END AS validity,
            CASE WHEN event_type = 'signup' THEN 0 ELSE observed_at END AS valid_from, observed_at AS first_observed_at,
            observed_at + CASE WHEN event_type = 'error' THEN 86400000 ELSE 0 END AS last_confirmed_at, event_id AS seq

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CLASSES = {"uncached_input_tokens": "input", "cache_read_input_tokens": "cache_read", "cache_write_input_tokens": "cache_write", "output_tokens": "output"}
@@ -29,6 +29,14 @@ def cost_rollup(costs: DataFrame, group: list[str]) -> DataFrame:
     return requests.unionByName(sessions).groupBy(*group, "basis").agg(F.coalesce(F.sum("cost_micro_usd"), F.lit(0)).alias("cost_micro_usd"), F.count_if(F.col("cost_micro_usd").isNull()).alias("unknown_costs"))
 
 
+def shown_as(basis: Column, route: Column) -> Column:
+    """What a cost is called, by its basis and the billing route of its requests: only a real bill is spend."""
+    return (
+        F.when(basis == "actual_billed", "spend").when(route == "api_key", "estimated bill").when(route == "subscription", "list-price equivalent")
+        .otherwise("list-price value, billing route unknown")
+    )
+
+
 def burn_rate(samples: DataFrame, series: list[str]) -> DataFrame:
     """Points of quota used between neighbouring readings of one window instance, per hour, and the
     hours until nothing is left at that pace. A reset or a fall gives no rate."""

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from meterlake.functions.scalars import local_day
 from meterlake.operators import attribution, measures, paths
 
-DIMENSIONS = ("harness", "provider", "model", "session", "day", "project", "account", "branch")
+#: Dimensions that evidence attributes, sessions or single events.
+ATTRIBUTED = ("account", "branch", "role", "task", "pull_request", "billing_route")
+DIMENSIONS = ("harness", "provider", "model", "session", "day", "project", *ATTRIBUTED)
 
 
 @dataclass
@@ -48,11 +50,13 @@ def usage(events: DataFrame, by: str, since_ms: int | None = None, until_ms: int
     else:
         grouped = _attributed(scope, by, effective, evidence, roots)
     label = F.when(F.col("state") == "value", F.coalesce("key", F.lit("unknown"))).when(F.col("state") == "attributed", F.col("key")).otherwise(F.concat(F.lit("("), F.col("state"), F.lit(")")))
+    if by == "billing_route":
+        label = F.when(F.col("state") == "unattributed", "unknown").otherwise(label)
     rows = grouped.withColumn("label", label)
     if by == "account" and labels is not None:
         rows = rows.join(labels.select(F.col("account_key").alias("key"), F.col("label").alias("_l")), "key", "left").withColumn("label", F.coalesce("_l", "label")).drop("_l")
     rows = rows.select("key", "state", "label", *measures.MEASURES)
-    shares = _shares(rows, total) if by in ("project", "account", "branch") else None
+    shares = _shares(rows, total) if by == "project" or by in ATTRIBUTED else None
     return Usage(rows, total, shares)
 
 

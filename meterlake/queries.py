@@ -196,6 +196,27 @@ def usage_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.usage(_events(spark, sf_dir), "branch", effective=resolved, evidence=closed).rows
 
 
+@query(f"""WITH {_PRIMARY}, {_resolved_sql("billing_route")},
+    s AS (SELECT e.*, coalesce(r.state, 'unattributed') AS state, r.value AS key FROM e LEFT JOIN resolved r ON session_key = subject_id)
+    SELECT key, state, CASE state WHEN 'attributed' THEN key WHEN 'unattributed' THEN 'unknown' ELSE '(' || state || ')' END AS label, {_SUMS} FROM s GROUP BY key, state""")
+def usage_by_billing_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, resolved = _resolved(spark, sf_dir, "billing_route")
+    return usage.usage(_events(spark, sf_dir), "billing_route", effective=resolved, evidence=closed).rows
+
+
+@query(f"""WITH {_PRIMARY}, {_resolved_sql("billing_route")},
+    c AS (SELECT CASE event_key % 3 WHEN 0 THEN 'actual_billed' WHEN 1 THEN 'harness_estimate' ELSE 'list_price' END AS basis, output_tokens * 15 AS cost, CASE WHEN state = 'attributed' THEN value END AS route FROM e LEFT JOIN resolved ON session_key = subject_id)
+    SELECT CASE WHEN basis = 'actual_billed' THEN 'spend' WHEN route = 'api_key' THEN 'estimated bill' WHEN route = 'subscription' THEN 'list-price equivalent' ELSE 'list-price value, billing route unknown' END AS shown_as,
+           sum(cost)::BIGINT AS cost_micro_usd, count(*) FILTER (WHERE cost IS NULL) AS unknown_costs FROM c GROUP BY 1""")
+def costs_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of requests under the name that their basis and their session's billing route give them."""
+    _, resolved = _resolved(spark, sf_dir, "billing_route")
+    route = resolved.filter("state = 'attributed'").select(F.col("subject_id").alias("session_key"), F.col("value").alias("route"))
+    kind = F.col("event_key") % 3
+    costs = _events(spark, sf_dir).join(route, "session_key", "left").withColumn("basis", F.when(kind == 0, "actual_billed").when(kind == 1, "harness_estimate").otherwise("list_price"))
+    return costs.groupBy(trends.shown_as(F.col("basis"), F.col("route")).alias("shown_as")).agg(F.sum(F.col("output_tokens") * 15).alias("cost_micro_usd"), F.count_if(F.col("output_tokens").isNull()).alias("unknown_costs"))
+
+
 @query(f"""{_BY_ACCOUNT} SELECT round(count(*) FILTER (WHERE state = 'attributed') / count(*), 9) AS attributed, round(count(*) FILTER (WHERE state = 'ambiguous') / count(*), 9) AS ambiguous,
     round(count(*) FILTER (WHERE state = 'unattributed') / count(*), 9) AS unattributed FROM s""")
 def usage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
