@@ -126,7 +126,7 @@ def read(source: str) -> Page:
     def flush() -> None:
         nonlocal links
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            text = " ".join("".join(buffer).split())
             if text:
                 page.blocks.append((stack.nodes[-1], text, min(links, len(text))))
             buffer.clear()
@@ -135,7 +135,7 @@ def read(source: str) -> Page:
     def text(part: str) -> None:
         nonlocal links
         if part:
-            buffer.append(part)
+            buffer.append(html.unescape(part))  # a reference ends where its text does: markup inside it leaves it as it is
             if in_link:
                 links += len(part)
 
