@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from meterlake.llm import exact_dedup, licenses, sentence_dedup
+from meterlake.llm import dom, exact_dedup, licenses, sentence_dedup
 
 N = 1_000_000
 SIGNS = ["=", "-", "*", "#", ".", ",", "(", ")", "[", "<", "/", "\\", "\"", "_", " ", "\t", "\r", "\x0b", "©", "—", "!"]
@@ -53,3 +53,8 @@ def test_copies_that_share_an_identifier(spark):
     assert kept.columns == docs.columns
     want = sorted(r.doc_id for r in exact_dedup.exact_groups(docs, keep="max").collect() if r.kept)
     assert sorted(r.doc_id for r in kept.collect()) == want == [1, 3]
+
+
+def test_references_are_decoded_in_their_own_text():
+    blocks = lambda page: [b[1] for b in dom.read(page).blocks]
+    assert blocks("<p>&am<b>p;</b>lt; b &<!-- -->lt; &amp;lt; &eacute;&#233; &lt < &lt;</p>") == ["&amp;lt; b &lt; &lt; éé < < <"]
