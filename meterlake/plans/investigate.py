@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.lineage import cut
+
 
 def contributions(rows: DataFrame, dims: list[str], value: str, begin_ms: int, end_ms: int, at: str = "observed_at", depth: int = 2, top: int | None = None) -> DataFrame:
     """``dims, group, before, after, difference, share, rank``: sums of ``value`` in [begin, end) and in the equal span before it, for the
@@ -30,8 +32,14 @@ def contributions(rows: DataFrame, dims: list[str], value: str, begin_ms: int, e
     each = base.select(F.explode(parts).alias("_s"), "before", "after").select("_s.*", "before", "after")
     summed = each.groupBy("group", *dims).agg(F.sum("before").alias("before"), F.sum("after").alias("after")).withColumn("difference", F.col("after") - F.col("before"))
     whole = base.agg(F.sum(F.col("after") - F.col("before")).alias("_whole"))
-    order = Window.partitionBy("group").orderBy(F.desc(F.abs("difference")), *[F.asc_nulls_first(d) for d in dims])
-    ranked = summed.withColumn("rank", F.row_number().over(order).cast("long"))
+    # Differences stand in slots by their size, so that no task ranks a whole group: a rank is one in the slot, behind the
+    # rows of the larger slots, of which a group has as many as a number has binary digits.
+    slotted = cut(summed.withColumn("_slot", F.floor(F.log2(F.abs("difference").cast("double") + 1))), "contributions")
+    sizes = slotted.groupBy("group", "_slot").agg(F.count("*").alias("_n"))
+    larger = F.sum("_n").over(Window.partitionBy("group").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy("group", "_slot").orderBy(F.desc(F.abs("difference")), *[F.asc_nulls_first(d) for d in dims])
+    placed = slotted.withColumn("_in_slot", F.row_number().over(order)).join(F.broadcast(sizes.select("group", "_slot", larger.alias("_larger"))), ["group", "_slot"])
+    ranked = placed.withColumn("rank", (F.col("_in_slot") + F.coalesce("_larger", F.lit(0))).cast("long"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     share = F.when(F.col("_whole") != 0, F.col("difference") / F.col("_whole"))
