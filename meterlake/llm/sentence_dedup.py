@@ -46,7 +46,7 @@ class Digests(dict):
     """The first 64 bits of the MD5 of words, white space behind them left out; filled as they are
     met, emptied at ``limit`` words."""
 
-    def __init__(self, limit: int = 200_000) -> None:
+    def __init__(self, limit: int = 400_000) -> None:
         super().__init__()
         self.limit = limit
 
@@ -58,23 +58,38 @@ class Digests(dict):
         return d
 
 
+def _last_least(values: list[int], a: int, b: int) -> int:
+    some = values[a:b]
+    some.reverse()
+    return b - 1 - some.index(min(some))
+
+
 def _pieces(sentence: str, digests: Digests) -> list[str]:
     """A sentence, cut by its content if it is long."""
-    parts = _PARTS.findall(sentence) if len(sentence) > 2 * LONG else ()
-    if len(parts) <= LONG:
+    # White space of any kind cuts at least where the parts are cut, so few words are few parts.
+    if len(sentence) <= 2 * LONG or len(sentence.split(None, LONG)) <= LONG:
+        return [sentence]
+    parts = _PARTS.findall(sentence)
+    n = len(parts)
+    if n <= LONG:
         return [sentence]
-    ends, least, at = [], -1, -1
     values = list(map(digests.__getitem__, parts))
-    for i, value in enumerate(values):
-        if at < 0 or value <= least:
-            least, at = value, i
-        elif i - at >= WINDOW:
-            least = min(values[i - WINDOW + 1 : i + 1])
-            at = max(j for j in range(i - WINDOW + 1, i + 1) if values[j] == least)
-        if i >= WINDOW - 1 and (not ends or ends[-1] != at + 1):
-            ends.append(at + 1)
-    if ends[-1] != len(parts):
-        ends.append(len(parts))
+    at = _last_least(values, 0, WINDOW)
+    ends = [at + 1]
+    while True:
+        # The next to end a piece is the first as small while this one is in the window, else the least of the window behind it.
+        least, out = values[at], at + WINDOW
+        for i in range(at + 1, min(out, n)):
+            if values[i] <= least:
+                at = i
+                break
+        else:
+            if out >= n:
+                break
+            at = _last_least(values, at + 1, out + 1)
+        ends.append(at + 1)
+    if ends[-1] != n:
+        ends.append(n)
     return ["".join(parts[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
