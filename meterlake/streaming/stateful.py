@@ -395,7 +395,8 @@ def late_links(observations: DataFrame, key: str = "observation_id", keep_ms: in
     A secondary observation waits under its request key until a primary one of another source has come, in whatever
     batch, and is linked to the least event that is then known; links never move. A row that comes again
     changes nothing. No watermark drops a late row: without ``keep_ms`` a request key is remembered for ever,
-    with it, each part of its state goes so long (by the clock) after it was last written."""
+    with it, each part of its state goes so long (by the clock) after it was last written. Such a stream goes by
+    the clock and never runs out of batches: start it with a processing-time trigger, not with ``availableNow``."""
     rows = observations.filter("provider_request_key IS NOT NULL").select(
         "provider_request_key", F.col(key).cast("long").alias("observation_id"), F.col("event_key").cast("string").alias("event_key"), "source", "primary")
     return rows.groupBy("provider_request_key").transformWithStateInPandas(Links(keep_ms), Links.OUT, "Append", "ProcessingTime" if keep_ms else "None")
