@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake import bindings as b
 from meterlake.functions.scalars import local_time
+from meterlake.lineage import cut
 from meterlake.registry import keyed_hash_sql, query
 from meterlake.sources import rollout, session_log, snapshots, telemetry, transcript
 
@@ -105,7 +106,7 @@ def _transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = told(F.lit("bridge-session").alias("type"), F.when(F.col("k") % 3 != 0, F.concat(F.lit("o"), F.col("k") % 3)).alias("ownerAccountUuid"), F.lit("org").alias("ownerOrganizationUuid"))
     value = F.when(kind == "error", error).when(kind == "view", notice).when(kind == "purchase", owner).otherwise(place)
     file = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/logs/"), session, F.lit(".jsonl"))).otherwise(F.lit("/logs/z-agent.jsonl"))
-    return transcript.parsed(e.select(value.alias("value"), file.alias("file"), F.col("event_id").alias("line")))
+    return transcript.parsed(cut(e.select(value.alias("value"), file.alias("file"), F.col("event_id").alias("line")), "log-lines"))
 
 
 _NOTICE_ROWS = ", ".join("({}, {}, {}, {}, {})".format(i, *("NULL" if x is None else repr(x) for x in (kind, window)), *(clock or ("NULL", "NULL"))) for i, (_, kind, window, clock) in enumerate(_NOTICES))
@@ -156,7 +157,7 @@ def _session_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("/logs/"), F.expr("user_id div 2"), F.lit(".jsonl")))
     head = F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("s"), "user_id").alias("id"), F.lit("/w").alias("cwd"), parent.alias("parentSession"), _iso(F.col("observed_at")).alias("timestamp")))
     lines = e.select(message.alias("value"), path(F.col("user_id")).alias("file"), F.col("event_id").alias("line")).unionByName(users.select(head.alias("value"), path(F.col("user_id")).alias("file"), F.lit(-1).cast("long").alias("line")))
-    return transcript.parsed(lines, session_log.MUST_HOLD)
+    return transcript.parsed(cut(lines, "log-lines"), session_log.MUST_HOLD)
 
 
 @query(f"""WITH {b.EVENTS}, u AS (SELECT user_id, min(observed_at) AS started_at FROM events_ GROUP BY 1)
@@ -170,7 +171,7 @@ def session_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'h:s' || user_id AS session_key, account, observed_at AS valid_from FROM p WHERE before IS NULL OR before <> account""")
 def session_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     credentials = b.events(spark, sf_dir).select(F.col("k").alias("id"), F.lit("p").alias("provider"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("user"), F.col("k") % 5)).alias("identity_key")).distinct()
-    return session_log.account_evidence(_session_logs(spark, sf_dir), "h", credentials, _SECRET)
+    return session_log.account_evidence(_session_logs(spark, sf_dir), "h", cut(credentials, "credentials"), _SECRET)
 
 
 # -- snapshots and telemetry -----------------------------------------------------------------------

@@ -625,7 +625,7 @@ def parse_roundtrip_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.struct(F.concat_ws("-", "conv_id", F.expr("turn div 2")).alias("id"), F.lit("m").alias("model"), usage_.alias("usage"), F.col("text").alias("content"))
     line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), _at(F.col("turn")).alias("timestamp"), message.alias("message")))
     lines = c.select(line.alias("value"), F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"))
-    found = transcript.observations(transcript.parsed(lines), "log", "h", "p", b"0123456789abcdef")
+    found = transcript.observations(transcript.parsed(cut(lines, "log-lines")), "log", "h", "p", b"0123456789abcdef")
     return found.select("source_request_key", "session_key", "output_tokens", "uncached_input_tokens", "observed_at")
 
 
@@ -640,7 +640,7 @@ def parse_roundtrip_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = c.select(F.when(F.col("turn") % 3 == 0, F.to_json(call)).otherwise(F.to_json(message)).alias("value"), file.alias("file"), (F.col("turn") + 1).alias("line"))
     header = F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("c"), "conv_id").alias("id")))
     heads = c.select("conv_id").distinct().select(header.alias("value"), file.alias("file"), F.lit(0).cast("long").alias("line"))
-    rows = transcript.parsed(lines.unionByName(heads), session_log.MUST_HOLD)
+    rows = transcript.parsed(cut(lines.unionByName(heads), "log-lines"), session_log.MUST_HOLD)
     return session_log.observations(rows, "log", "h").select("source_request_key", "session_key", "auxiliary", "output_tokens", "cache_read_input_tokens", "observed_at")
 
 

@@ -33,7 +33,9 @@ def parsed(lines: DataFrame, must_hold: tuple[str, ...] = ()) -> DataFrame:
         for text in must_hold:
             hit = hit | F.col("value").contains(text)
         rows = rows.filter(hit)
-    return rows.withColumn("v", F.try_parse_json("value")).filter(F.schema_of_variant("v").startswith("OBJECT")).drop("value")
+    # A row generator, so that filters on fields are not moved below the parsing, each with a parsing of its own.
+    one = F.explode(F.array(F.try_parse_json("value"))).alias("v")
+    return rows.filter(F.col("value").rlike(r"^\s*\{")).select(*[c for c in rows.columns if c != "value"], one).filter("v IS NOT NULL")
 
 
 def text_at(path: str) -> Column:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meterlake import queries as registered
 from meterlake.sources import rollout, session_log, snapshots, telemetry, transcript
 
 SECRET = b"s" * 32
@@ -59,6 +60,23 @@ def test_transcript_limits_branches_owners(log):
     assert sessions["s1"].cwd == "/w" and sessions["s1"].started_at == 1788256800000
 
 
+def optimized(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(1, ' \t{"type": "a", "n": 1}'), (2, '["a"]'), (3, '"a"'), (4, '{"type": "b"}'), (5, '{"type": "a"'), (6, "  "), (7, None), (8, "{}"), (9, "null")], "line long, value string")
+    rows = transcript.parsed(lines)
+    assert rows.columns == ["line", "v"] and sorted(r.line for r in rows.select("line").collect()) == [1, 4, 8]
+    typed = rows.filter(transcript.text_at("$.type") == "a").filter(transcript.int_at("$.n").isNotNull())
+    assert [r.line for r in typed.select("line").collect()] == [1] and optimized(typed).count("parseJson") == 1
+
+
+def test_queries_read_written_lines(spark):
+    for name in ("session_logins", "session_parents", "limit_events", "parse_roundtrip_transcript", "parse_roundtrip_session"):
+        assert "to_json" not in optimized(registered.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_next_clock_time_over_midnight(spark):
     from meterlake.functions.scalars import next_wall_clock
 
