@@ -17,12 +17,12 @@ def spans_once(spans: DataFrame, seq: str = "seq") -> DataFrame:
     return spans.groupBy(*_SPAN).agg(F.max_by(F.struct(*value), F.struct(F.col("end_ms").isNotNull(), F.col(seq))).alias("_v")).select(*_SPAN, *[F.col(f"_v.{c}").alias(c) for c in value])
 
 
-def parents(spans: DataFrame) -> DataFrame:
-    """``trace_id, span_id, parent_id, missing``: the parent if it is among the spans, and whether one is named that is
-    not. One equality join by trace and span."""
+def parents(spans: DataFrame, *more: str) -> DataFrame:
+    """``trace_id, span_id, parent_id, missing`` and columns ``more``: the parent if it is among the spans, and whether one is
+    named that is not. One equality join by trace and span."""
     known = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
-    named = spans.select(*_SPAN, "parent_id").join(known, ["trace_id", "parent_id"], "left")
-    return named.select(*_SPAN, F.when(F.col("_known"), F.col("parent_id")).alias("parent_id"), (F.col("parent_id").isNotNull() & F.col("_known").isNull()).alias("missing"))
+    named = spans.select(*_SPAN, "parent_id", *more).join(known, ["trace_id", "parent_id"], "left")
+    return named.select(*_SPAN, F.when(F.col("_known"), F.col("parent_id")).alias("parent_id"), (F.col("parent_id").isNotNull() & F.col("_known").isNull()).alias("missing"), *more)
 
 
 def tree(spans: DataFrame) -> DataFrame:
@@ -33,11 +33,10 @@ def tree(spans: DataFrame) -> DataFrame:
     down. Every round doubles how far a span sees upwards, so rounds grow with the logarithm of the depth, and
     no trace is gathered in one task. Spans on a cycle of parents, and those below, have no root and
     no depth and are not critical."""
-    linked = parents(spans)
-    ends = spans.select(*_SPAN, F.struct(F.col("end_ms").isNull(), F.col("end_ms")).alias("_end"))
-    last = linked.filter("parent_id IS NOT NULL").join(ends, _SPAN).groupBy("trace_id", "parent_id").agg(F.max("_end").alias("_last"))
-    chosen = linked.join(ends, _SPAN).join(last, ["trace_id", "parent_id"]).filter(F.col("_end") == F.col("_last")).groupBy("trace_id", "parent_id").agg(F.min("span_id").alias("span_id"))
-    first = linked.join(chosen.select(*_SPAN, F.lit(True).alias("_chosen")), _SPAN, "left")
+    linked = cut(parents(spans, "end_ms"), "span-links")
+    last = F.struct(F.col("end_ms").isNotNull().alias("ended"), (-F.col("end_ms")).alias("end"), "span_id")
+    chosen = linked.filter("parent_id IS NOT NULL").groupBy("trace_id", "parent_id").agg(F.min(last).alias("_last"))
+    first = linked.join(chosen.select("trace_id", F.col("_last.span_id").alias("span_id"), F.lit(True).alias("_chosen")), _SPAN, "left")
     up = cut(first.select(
         *_SPAN, "missing", F.col("parent_id").alias("above"), F.coalesce("parent_id", "span_id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"),
         (F.col("parent_id").isNull() | F.col("_chosen").isNotNull()).alias("critical")), "span-parents")
@@ -77,15 +76,20 @@ def rollup(spans: DataFrame) -> DataFrame:
     """One row for each trace: its root (of several the one that starts first, then the least id), services, start,
     duration (from the first start to the last end; null if no span has ended), spans, errors, spans whose
     parent is missing, depth, and on the critical path of its root the spans and their self time."""
-    placed = spans.join(tree(spans), _SPAN).join(self_times(spans), _SPAN)
-    is_root = F.col("root_id") == F.col("span_id")
-    whole = placed.groupBy("trace_id").agg(
-        F.min(F.when(is_root, F.struct("start_ms", "span_id", "name"))).alias("_root"), F.sort_array(F.collect_set("service")).alias("_services"), F.min("start_ms").alias("start_ms"),
-        (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"), F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if("missing").alias("missing_parents"),
-        F.count_if(is_root).alias("roots"), F.max("depth").alias("depth"))
-    paths = placed.filter("critical").groupBy(F.col("trace_id").alias("_t"), F.col("root_id").alias("_r")).agg(F.count("*").alias("critical_spans"), F.sum("self_ms").alias("critical_self_ms"))
-    named = whole.select("trace_id", F.col("_root.span_id").alias("root_id"), F.col("_root.name").alias("root_name"), F.concat_ws(",", "_services").alias("services"), "start_ms", "duration_ms", "spans", "errors", "missing_parents", "roots", "depth")
-    return named.join(paths, (F.col("trace_id") == F.col("_t")) & (F.col("root_id") == F.col("_r")), "left").drop("_t", "_r")
+    spans = cut(spans, "spans")
+    placed = spans.select(*_SPAN, "name", "start_ms").join(tree(spans), _SPAN).join(self_times(spans).select(*_SPAN, "self_ms"), _SPAN)
+    is_root, root = F.col("root_id") == F.col("span_id"), ["start_ms", "span_id", "name"]
+    trees = placed.groupBy("trace_id", "root_id").agg(
+        F.min(F.when(is_root, F.struct(*root))).alias("_root"), F.count_if("missing").alias("_missing"), F.max("depth").alias("_depth"),
+        F.count_if("critical").alias("_critical"), F.sum(F.when(F.col("critical"), F.col("self_ms"))).alias("_self"))
+    first = F.min(F.when(F.col("_root").isNotNull(), F.struct(*[F.col(f"_root.{c}").alias(c) for c in root], "_critical", "_self"))).alias("_first")
+    paths = trees.groupBy("trace_id").agg(first, F.sum("_missing").alias("missing_parents"), F.count("_root").alias("roots"), F.max("_depth").alias("depth"))
+    whole = spans.groupBy("trace_id").agg(
+        F.sort_array(F.collect_set("service")).alias("_services"), F.min("start_ms").alias("start_ms"), (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"), F.count("*").alias("spans"),
+        F.count_if(F.col("status") == "error").alias("errors"))
+    return whole.join(paths, "trace_id").select(
+        "trace_id", F.col("_first.span_id").alias("root_id"), F.col("_first.name").alias("root_name"), F.concat_ws(",", "_services").alias("services"), "start_ms", "duration_ms", "spans", "errors",
+        "missing_parents", "roots", "depth", F.col("_first._critical").alias("critical_spans"), F.col("_first._self").alias("critical_self_ms"))
 
 
 def errors(spans: DataFrame, logs: DataFrame, severe: int = 17) -> DataFrame:

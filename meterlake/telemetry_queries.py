@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake import bindings as b
+from meterlake.lineage import cut
 from meterlake.operators import calibration, deletion, metrics, traces, triggers
 from meterlake.plans import export, investigate
 from meterlake.registry import query
@@ -27,8 +28,10 @@ def _span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), F.when(n % 13 == 5, -F.col("event_id")).otherwise(F.col("_up")).alias("parent_id"),
         F.concat_ws("/", "event_type", (k % 4).cast("string")).alias("name"), F.col("event_type").alias("service"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
         F.when(n == 1, 0).otherwise(start).cast("long").alias("start_ms"), F.when(k % 29 != 0, F.when(n == 1, 2000).otherwise(start + 200 + k)).cast("long").alias("end_ms"), F.lit(1).cast("long").alias("seq"))
-    early = spans.filter("span_id % 10 = 0").withColumn("end_ms", F.lit(None).cast("long")).withColumn("name", F.lit("early")).withColumn("seq", (F.col("span_id") % 3 * 2).cast("long"))
-    return spans.unionByName(early)
+    twice = F.when(F.col("span_id") % 10 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    early = F.col("_early")
+    return spans.select("*", F.explode(twice).alias("_early")).withColumn("end_ms", F.when(~early, F.col("end_ms"))).withColumn("name", F.when(early, "early").otherwise(F.col("name"))).withColumn(
+        "seq", F.when(early, F.col("span_id") % 3 * 2).otherwise(F.col("seq")).cast("long")).drop("_early")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ _SPANS = f"""{b.EVENTS}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id
 
 @query(f"WITH RECURSIVE {_SPANS} SELECT trace_id, span_id, root_id, depth::BIGINT AS depth, critical, missing, duration_ms, child_ms, self_ms FROM placed")
 def trace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _spans(spark, sf_dir)
+    spans = cut(_spans(spark, sf_dir), "spans")
     return traces.tree(spans).join(traces.self_times(spans), ["trace_id", "span_id"])
 
 

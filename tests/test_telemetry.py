@@ -74,6 +74,22 @@ def test_trees_and_self_times(spark):
     assert set(whole) == {1, 2, 3, 4} and whole[2].root_id is None and whole[3].critical_spans == 1 and whole[1].root_name == "n1"
 
 
+def test_rollup_computes_its_spans_once(spark):
+    rows = [span(1, 1, None, 0, 50), span(1, 2, 1, 0, 40), span(1, 3, 1, 5, None, "error"), span(1, 4, 3, 6, 9), span(1, 5, 99, 2, 70), span(1, 6, 5, 3, 30), span(2, 1, 1, 0, 3)]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(end):
+        made.add(1)
+        return end
+
+    table = spark.createDataFrame(rows, SPAN).withColumn("end_ms", F.udf(seen, "long")("end_ms"))
+    got = {r.trace_id: r for r in traces.rollup(table).collect()}
+    assert made.value == len(rows)
+    one, two = got[1], got[2]
+    assert (one.root_id, one.root_name, one.services, one.duration_ms, one.spans, one.errors, one.missing_parents, one.roots, one.depth) == (1, "n1", "s0,s1,s2", 70, 6, 1, 1, 2, 2)
+    assert (one.critical_spans, one.critical_self_ms) == (3, 3) and (two.root_id, two.roots, two.depth, two.critical_spans) == (None, 0, None, None)
+
+
 def test_traces_of_nothing(spark):
     none = spark.createDataFrame([], SPAN)
     assert traces.tree(none).count() == traces.rollup(none).count() == traces.self_times(none).count() == 0
