@@ -94,10 +94,15 @@ def _collected(reader: Reader, lines: DataFrame) -> DataFrame:
 
 
 def written_lines(lines: DataFrame, path: str) -> None:
-    """Write lines (``value, file, line``) as text files, those of a file in one, in order. For tests and exports."""
+    """Write lines (``value, file, line``) as text files of many logs each, a line behind the name of its log and a tab; those of a
+    log lie in one file, in order. The number of files follows the amount of text, not the number of logs. A value that
+    holds line breaks is as many lines; a null is an empty one."""
     ordered = lines.repartition("file").sortWithinPartitions("file", "line")
-    ordered.select("value", F.regexp_replace("file", r"[^\w.-]+", "_").alias("log")).write.partitionBy("log").text(path)
+    texts = ordered.select(F.url_encode("file").alias("log"), F.explode(F.split(F.coalesce("value", F.lit("")), "\\r\\n|\\r|\\n")).alias("text"))
+    texts.select(F.concat("log", F.lit("\t"), "text").alias("value")).write.text(path)
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:
-    return transcript.read_lines(spark, path, "*.txt")
+    """Lines as :func:`written_lines` wrote them, with the names of their logs."""
+    named = transcript.read_lines(spark, path, "*.txt")
+    return named.select(F.expr("substring(value, instr(value, '\t') + 1)").alias("value"), F.url_decode(F.substring_index("value", "\t", 1)).alias("file"), "line")

@@ -74,6 +74,17 @@ def test_trees_and_self_times(spark):
     assert set(whole) == {1, 2, 3, 4} and whole[2].root_id is None and whole[3].critical_spans == 1 and whole[1].root_name == "n1"
 
 
+def test_written_logs_share_files(spark, tmp_path):
+    names = ["/a/b.jsonl", "_a_b.jsonl", "a b\t%\u00e9", *map(str, range(60))]
+    rows = [(f"{n}\t{name!a}", name, n) for name in names for n in (10, 9, -1, 0)] + [("x\ny\r\n\rz", "breaks", 1), (None, "breaks", 2)]
+    reader.written_lines(spark.createDataFrame(rows, "value string, file string, line long"), str(tmp_path / "logs"))
+    assert len(list((tmp_path / "logs").rglob("*.txt"))) <= 8
+    got = {}
+    for r in reader.read_written(spark, str(tmp_path / "logs")).orderBy("file", "line").collect():
+        got.setdefault(r.file, []).append(r.value)
+    assert got == {name: [f"{n}\t{name!a}" for n in (-1, 0, 9, 10)] for name in names} | {"breaks": ["x", "y", "", "z", ""]}
+
+
 def test_rollup_computes_its_spans_once(spark):
     rows = [span(1, 1, None, 0, 50), span(1, 2, 1, 0, 40), span(1, 3, 1, 5, None, "error"), span(1, 4, 3, 6, 9), span(1, 5, 99, 2, 70), span(1, 6, 5, 3, 30), span(2, 1, 1, 0, 3)]
     made = spark.sparkContext.accumulator(0)
