@@ -38,7 +38,7 @@ def _rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda payload: F.to_json(F.struct(_iso(F.col("observed_at")).alias("timestamp"), F.col("kind").alias("type"), payload.alias("payload")))
     value = F.when(F.col("kind") == "session_meta", line(head)).when(F.col("kind") == "turn_context", line(turn)).otherwise(line(count))
     lines = e.select(value.alias("value"), F.concat(F.lit("/rollouts/"), "user_id", F.lit(".jsonl")).alias("file"), F.col("event_id").alias("line"))
-    return transcript.parsed(lines, rollout.MUST_HOLD)
+    return transcript.parsed(cut(lines, "log-lines"), rollout.MUST_HOLD)
 
 
 _ROLLOUT = f"""{b.EVENTS}, lines AS (
