@@ -73,7 +73,7 @@ def test_lines_are_parsed_once(spark):
 
 
 def test_queries_read_written_lines(spark):
-    for name in ("session_logins", "session_parents", "limit_events", "parse_roundtrip_transcript", "parse_roundtrip_session", "rollout_capacity"):
+    for name in ("session_logins", "session_parents", "limit_events", "parse_roundtrip_transcript", "parse_roundtrip_session", "rollout_capacity", "rollout_roundtrip", "rollout_headers"):
         assert "to_json" not in optimized(registered.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
