@@ -50,6 +50,16 @@ def int_at(path: str) -> Column:
     return F.when(kind == "BIGINT", F.try_variant_get("v", path, "long"))
 
 
+def text_of(value: str) -> Column:
+    """As ``text_at``, of a VARIANT column that holds the value alone."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
+
+
+def int_of(value: str) -> Column:
+    """As ``int_at``, of a VARIANT column that holds the value alone."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
+
+
 def with_session(rows: DataFrame) -> DataFrame:
     return rows.withColumn("session_id", text_at("$.sessionId")).filter("session_id IS NOT NULL")
 

@@ -113,6 +113,21 @@ def test_rollout(spark, tmp_path):
     assert [(r.branch, r.valid_from) for r in rollout.branches(rows, "h").collect()] == [("main", 0)]
 
 
+def test_rollout_parses_each_line_once(spark):
+    head = lambda name, branch: {"timestamp": "2026-09-01T10:00:00Z", "type": "session_meta", "payload": {"id": name, "git": {"branch": branch}}}
+    at = "2026-09-01T10:00:01Z"
+    odd = [{"timestamp": at, "type": "event_msg", "payload": p} for p in ("token_count", ["token_count"], {"type": "token_count", "info": 5}, {"type": "token_count", "info": {"total_token_usage": "5"}})]
+    lines = [*odd, counter(at, 10, 8, "4", True, 2, 0.5), counter(at, "20", 9, 4, 0, 3, 1), {"type": "turn_context", "payload": {"model": 5}}, counter(at, 30, 9, 4, None, 3, 1), counter(5, 40, 9, 4, 0, 3, 1), head(7, "no"), head("s1", "main"), head("s2", "other"), head("s1", "next")]
+    rows = transcript.parsed(spark.createDataFrame([("a", i, json.dumps(x)) for i, x in enumerate(lines)] + [("b", 0, json.dumps(counter(at, 1, 1, 1, 0, 1, 1)))], "file string, line long, value string"), rollout.MUST_HOLD)
+    found = rollout.observations(rows, "r", "h", "p")
+    got = [(r.session_key, r.source_request_key.split("|")[1], r.model, r.uncached_input_tokens, r.cache_read_input_tokens, r.output_tokens, r.reasoning_output_tokens) for r in found.collect()]
+    assert sorted(got, key=lambda r: int(r[1])) == [(None, "1", None, 0, 1, 1, 1), ("h:s1", "10", None, None, None, 2, None), ("h:s1", "30", None, None, None, 1, None)]
+    branches = rollout.branches(rows, "h")
+    assert sorted((r.session_key, r.branch) for r in branches.collect()) == [("h:s1", "main"), ("h:s1", "next")]
+    for df in (found, branches):
+        assert optimized(df).count("parseJson") == 1 and "Join" not in optimized(df)
+
+
 def test_session_log(spark, tmp_path):
     usage = {"input": 1, "output": 2, "cacheRead": 3, "cacheWrite": 4, "totalTokens": 10, "reasoningTokens": None, "cost": {"total": 0.5}}
     at = "2026-09-01T10:00:0%dZ"
