@@ -10,11 +10,12 @@ from meterlake.operators.counting import carry_forward, counter_delta, emit_on_c
 from meterlake.operators.sequences import change_points
 from meterlake.sources.transcript import int_at, int_of, text_at, text_of
 
-#: A line is parsed only if it holds one of these.
-MUST_HOLD = ("session_meta", "turn_context", "token_count")
+#: A line is parsed only if it holds one of these; the most frequent is looked for first.
+MUST_HOLD = ("token_count", "turn_context", "session_meta")
 _COUNTERS = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
-#: What a line is read for, taken in one pass; each value keeps its own type.
-_FIELDS = f"struct<type: variant, timestamp: variant, payload: struct<type: variant, id: variant, model: variant, info: struct<total_token_usage: struct<{', '.join(f'{c}: variant' for c in _COUNTERS)}>>>>"
+#: What a line is read for, taken in one pass. Values keep their own type, but for the two types, which are only compared
+#: with words that no number, object or array reads as.
+_FIELDS = f"struct<type: string, timestamp: variant, payload: struct<type: string, id: variant, model: variant, info: struct<total_token_usage: struct<{', '.join(f'{c}: variant' for c in _COUNTERS)}>>>>"
 
 
 def _typed(rows: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def observations(rows: DataFrame, source: str, harness: str, provider: str) -> D
     """Requests as differences of the counters, with the model that was current. A file without a
     header has no session, and its stream is a digest of its path."""
     d = rows.select("file", "line", F.try_variant_get("v", "$", _FIELDS).alias("r"))
-    d = d.select("file", "line", text_of("r.type").alias("type"), text_of("r.timestamp").alias("at"), "r.payload")
-    told = d.select("file", "line", "type", iso_ms(F.col("at"), "utc").alias("at"), F.when(F.col("type") == "turn_context", text_of("payload.model")).alias("model"), text_of("payload.type").alias("_kind"),
+    d = d.select("file", "line", "r.type", text_of("r.timestamp").alias("at"), "r.payload")
+    told = d.select("file", "line", "type", iso_ms(F.col("at"), "utc").alias("at"), F.when(F.col("type") == "turn_context", text_of("payload.model")).alias("model"), F.col("payload.type").alias("_kind"),
                     F.when(F.col("type") == "session_meta", text_of("payload.id")).alias("_id"), *[int_of(f"payload.info.total_token_usage.{c}").alias(c) for c in _COUNTERS])
     told = carry_forward(told.withColumn("_own", _own_session("_id")).drop("_id"), "file", "line", "model")
     counted = told.filter("type = 'event_msg' AND _kind = 'token_count' AND at IS NOT NULL AND total_tokens IS NOT NULL")
